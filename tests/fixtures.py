@@ -1,0 +1,50 @@
+"""The two small worked examples, with scores computed by hand from the formulas (FIXTURES.md)."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from isoreach.sources import facility_table, od_table, origin_table
+
+INF = float("inf")
+
+OD_A = [(1, 5, 12.0), (1, 8, 18.0), (2, 5, 6.5), (2, 8, 30.0), (3, 5, 30.5)]
+ORIGINS_A = [(101, 100.0, 1), (102, 50.0, 2), (103, 70.0, 3)]
+FACILITIES_A = [(5, 10.0), (8, 20.0)]
+
+OD_B = OD_A + [(4, 9, 10.0), (6, 8, 20.0), (6, 10, 5.0), (7, 8, 15.0), (2, 11, 10.0)]
+ORIGINS_B = ORIGINS_A + [(104, 0.0, 4), (106, 40.0, 6)]
+FACILITIES_B = FACILITIES_A + [(9, 5.0), (10, None), (12, 30.0)]
+
+SCORES_A = {
+    101: (0.2, 0.248551365336, 0.0751474428013, 0.246757036486, 0.240480309723),
+    102: (0.2, 0.102897269327, 0.0732166230568, 0.106485927029, 0.119039380554),
+    103: (0.0, 0.0, 0.0, 0.0, 0.0),
+}
+SCORES_B = {
+    101: (0.171929824561, 0.207052257005, 0.065315152077, 0.235441586051, 0.240480309723),
+    102: (0.171929824561, 0.0996891915293, 0.0731578650623, 0.0781581668551, 0.119039380554),
+    103: (0.0, 0.0, 0.0, 0.0, 0.0),
+    104: (INF, INF, 0.0, 0.0, 0.0),
+    106: (0.105263157895, 0.107757868077, 0.0182125145447, 0.0636983263045, 0.0),
+}
+
+
+def tables(spark: SparkSession, od, origins, facilities):
+    """The three typed tables, through the same readers as stored data."""
+    routes = [(i, f"Location {i} - Destination {j}", t) for i, j, t in od]
+    return (
+        od_table(spark.createDataFrame(routes, "OriginID long, Name string, Total_time double")),
+        origin_table(
+            spark.createDataFrame(origins, "pointid long, grid_code double, OriginID_Point long")
+        ),
+        facility_table(spark.createDataFrame(facilities, "OBJECTID long, capacity double")),
+    )
+
+
+def tables_a(spark: SparkSession):
+    return tables(spark, OD_A, ORIGINS_A, FACILITIES_A)
+
+
+def tables_b(spark: SparkSession):
+    return tables(spark, OD_B, ORIGINS_B, FACILITIES_B)
