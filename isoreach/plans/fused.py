@@ -31,6 +31,9 @@ from .stepwise import accessibility_by_steps
 # the product of two smallest weights, exp(-600), is an ordinary double.
 _LARGEST_EXPONENT = 300.0
 
+# Stands for a missing destination; no facility has it as its key.
+_NO_DESTINATION = "\0"
+
 
 def accessibility(
     od: DataFrame,
@@ -59,8 +62,9 @@ def accessibility(
         )
 
     o, d = cols.origin, cols.destination
+    # A destination that cannot be null spares every pass a null filter that would parse the name again.
     pairs = within_catchment(od, params, cols).select(
-        o, d, weight(F.col(cols.time), params).alias("_f")
+        o, F.coalesce(F.col(d), F.lit(_NO_DESTINATION)).alias(d), weight(F.col(cols.time), params).alias("_f")
     )
     people = people_table(origins, cols)
     supply = supply_table(facilities, cols)
