@@ -58,7 +58,7 @@ class Layout:
 
     small_origins: bool = False
     small_facilities: bool = False
-    slice_rows: int = 10_000_000
+    slice_rows: int = 50_000_000
 
 
 def measure_layout(
@@ -66,7 +66,7 @@ def measure_layout(
     facilities: DataFrame,
     *,
     broadcast_rows: int = 1_000_000,
-    slice_rows: int = 10_000_000,
+    slice_rows: int = 50_000_000,
 ) -> Layout:
     """Count both tables (file footers only, for Parquet) and mark those of at most ``broadcast_rows``.
 

@@ -6,16 +6,27 @@ not a window: a window would bring all routes of one origin into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Columns, Layout, Params
 from ..functions import nan_safe_sum, positive_ratio, weight
 from .catchment import within_catchment
-from .lookup import lookup_join
+from .lookup import deal, lookup_join, sum_per_key
 from .tables import supply_table
 
 
+def _with_share(
+    pairs: DataFrame, part: str, total: Column, share: str, cols: Columns, layout: Layout
+) -> DataFrame:
+    """Adds ``share``: ``part`` over the origin's ``total``. The pairs are shuffled once for both steps."""
+    dealt = deal(pairs, cols.origin, cols.destination, layout.slice_rows)
+    per_origin = sum_per_key(dealt.pairs, cols.origin, {"_total": total})
+    return dealt.attach(per_origin, "left").select(
+        *pairs.columns, positive_ratio(F.col(part), F.col("_total")).alias(share)
+    )
+
+
 def selection_weights(
     od: DataFrame,
     params: Params = Params(),
@@ -27,22 +38,7 @@ def selection_weights(
     Facilities need not be known to count. Every row is kept.
     """
     weighted = od.withColumn("Tij", weight(F.col(cols.time), params))
-    per_origin = weighted.groupBy(cols.origin).agg(
-        nan_safe_sum(F.col("Tij")).alias("_total"), F.count(F.lit(1)).alias("n_pairs")
-    )
-    joined = lookup_join(
-        weighted,
-        per_origin.drop("n_pairs"),
-        cols.origin,
-        cols.destination,
-        "left",
-        small=False,
-        slice_rows=layout.slice_rows,
-        pair_counts=per_origin.drop("_total"),
-    )
-    return joined.select(
-        *weighted.columns, positive_ratio(F.col("Tij"), F.col("_total")).alias("Gij")
-    )
+    return _with_share(weighted, "Tij", nan_safe_sum(F.col("Tij")), "Gij", cols, layout)
 
 
 def huff_probability(
@@ -75,22 +71,4 @@ def huff_probability(
         cols.time,
         (F.col("_supply") * weight(F.col(cols.time), params)).alias("_pull"),
     )
-    per_origin = pulls.groupBy(cols.origin).agg(
-        F.sum("_pull").alias("_total"), F.count(F.lit(1)).alias("n_pairs")
-    )
-    joined = lookup_join(
-        pulls,
-        per_origin.drop("n_pairs"),
-        cols.origin,
-        cols.destination,
-        "left",
-        small=False,
-        slice_rows=layout.slice_rows,
-        pair_counts=per_origin.drop("_total"),
-    )
-    return joined.select(
-        cols.origin,
-        cols.destination,
-        cols.time,
-        positive_ratio(F.col("_pull"), F.col("_total")).alias("Huff_ij"),
-    )
+    return _with_share(pulls, "_pull", F.sum("_pull"), "Huff_ij", cols, layout).drop("_pull")

@@ -1,15 +1,92 @@
-"""Attaching a per-key table to the travel-time pairs: the one join at the scale of the pairs."""
+"""Attaching a per-key table to the travel-time pairs, and summing the pairs per key.
+
+These are the only steps at the scale of the pairs. One origin or destination may hold a large part of
+all pairs, so a shuffle by key alone could leave one task with most of the work. ``deal`` therefore cuts
+such keys into slices, and every shuffle is by key and slice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SLICE = "_slice"
 _SLICES = "_slices"
+_BUCKET = "_bucket"
+_BUCKETS = 1 << 18
 _NULL_SLICES = 1024
 
 
+def hot_keys(pairs: DataFrame, key: str, slice_rows: int) -> DataFrame:
+    """(``key``, ``_slices``) of the keys with more than ``slice_rows`` pairs, exactly.
+
+    Counting every key could shuffle as many rows as there are pairs. Instead hash buckets are counted,
+    of which a task emits few, and then only the keys in buckets that are too full to rule one out.
+    Neither of the two tables broadcast has more than ``pairs / slice_rows`` rows.
+    """
+    keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(
+        F.col(key).isNotNull()
+    )
+    full = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
+    suspects = keys.join(F.broadcast(full.select(_BUCKET)), _BUCKET, "left_semi")
+    counts = suspects.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    slices = F.ceil(F.col("_n") / F.lit(float(slice_rows)))
+    return counts.filter(F.col("_n") > slice_rows).select(key, slices.alias(_SLICES))
+
+
+@dataclass(frozen=True)
+class Dealt:
+    """Pairs shuffled by key and slice. Several uses of one object share that one shuffle."""
+
+    pairs: DataFrame
+    hot: DataFrame
+    key: str
+
+    def attach(self, lookup: DataFrame, how: str) -> DataFrame:
+        """Joins ``lookup``, of at most one row per key, each repeated once per slice of its key.
+
+        Its share of a partition is at most one row per key, so it is hashed and the pairs need no sort.
+        """
+        last = F.coalesce(F.col(_SLICES), F.lit(1).cast("long")) - 1
+        repeated = (
+            lookup.join(F.broadcast(self.hot), self.key, "left")
+            .withColumn(_SLICE, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .drop(_SLICES)
+        )
+        return self.pairs.join(repeated.hint("shuffle_hash"), [self.key, _SLICE], how)
+
+
+def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int) -> Dealt:
+    """Shuffles ``pairs`` by ``key``, with keys of more than ``slice_rows`` pairs cut into slices.
+
+    A hash of ``spread_by`` picks the slice, so a task that is run again deals its pairs out alike.
+    Pairs without a key are spread too.
+    """
+    hot = hot_keys(pairs, key, slice_rows)
+    slices = F.coalesce(F.col(_SLICES), F.when(F.col(key).isNull(), F.lit(_NULL_SLICES)), F.lit(1))
+    dealt = (
+        pairs.join(F.broadcast(hot), key, "left")
+        .withColumn(_SLICE, F.pmod(F.xxhash64(spread_by), slices.cast("long")))
+        .drop(_SLICES)
+        .repartition(key, _SLICE)
+    )
+    return Dealt(dealt, hot, key)
+
+
+def sum_per_key(rows: DataFrame, key: str, sums: Mapping[str, Column]) -> DataFrame:
+    """``sums`` (name to aggregate) per key.
+
+    Rows that are dealt by this key are summed per slice where they lie, and only the slices' sums move.
+    """
+    if _SLICE not in rows.columns:
+        return rows.groupBy(key).agg(*[total.alias(name) for name, total in sums.items()])
+    per_slice = rows.groupBy(key, _SLICE).agg(*[total.alias(name) for name, total in sums.items()])
+    return per_slice.groupBy(key).agg(*[F.sum(name).alias(name) for name in sums])
+
+
 def lookup_join(
     pairs: DataFrame,
     lookup: DataFrame,
@@ -19,32 +96,11 @@ def lookup_join(
     *,
     small: bool,
     slice_rows: int,
-    pair_counts: DataFrame | None = None,
 ) -> DataFrame:
     """``pairs`` joined to ``lookup``, which has at most one row per ``key`` (``how``: inner or left).
 
-    A lookup measured small is broadcast and the pairs do not move. Otherwise both sides are shuffled
-    on the key, and each key that more than ``slice_rows`` pairs share is cut into slices of about that
-    size: its pairs are dealt out by a hash of ``spread_by`` and its lookup row is repeated once per
-    slice. The table of hot keys is broadcast; it has at most ``pairs / slice_rows`` rows. The hash is
-    deterministic, so a task that is run again deals its pairs out alike.
-
-    ``pair_counts`` (``key``, ``n_pairs``) saves the counting pass where the caller has it already.
+    A lookup measured small is broadcast and the pairs do not move; otherwise the pairs are dealt.
     """
     if small:
         return pairs.join(F.broadcast(lookup), key, how)
-    if pair_counts is None:
-        pair_counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"))
-    hot = pair_counts.filter(F.col(key).isNotNull() & (F.col("n_pairs") > slice_rows)).select(
-        key, F.ceil(F.col("n_pairs") / F.lit(float(slice_rows))).alias(_SLICES)
-    )
-    hot = F.broadcast(hot)
-    # Pairs without a key match nothing; a left join keeps them, so they too are spread.
-    slices = F.coalesce(F.col(_SLICES), F.when(F.col(key).isNull(), F.lit(_NULL_SLICES)), F.lit(1))
-    dealt = pairs.join(hot, key, "left").withColumn(
-        _SLICE, F.pmod(F.xxhash64(spread_by), slices.cast("long"))
-    )
-    repeated = lookup.join(hot, key, "left").withColumn(
-        _SLICE, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(_SLICES), F.lit(1)) - 1))
-    )
-    return dealt.drop(_SLICES).join(repeated.drop(_SLICES), [key, _SLICE], how).drop(_SLICE)
+    return deal(pairs, key, spread_by, slice_rows).attach(lookup, how).drop(_SLICE)

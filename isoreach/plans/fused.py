@@ -15,7 +15,7 @@ broadcast the pairs are not shuffled at all; see ``operators.lookup`` for tables
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..config import METHODS, Columns, Layout, Params, measure_layout
 from ..functions import nan_safe_sum, positive_ratio, safe_ratio, weight
 from ..operators.catchment import within_catchment
-from ..operators.lookup import lookup_join
+from ..operators.lookup import deal, sum_per_key
 from ..operators.tables import people_table, supply_table
 from .stepwise import accessibility_by_steps
 
@@ -69,9 +69,36 @@ def accessibility(
     people = people_table(origins, cols)
     supply = supply_table(facilities, cols)
 
+    # A table too large to broadcast: deal the pairs out by its key once, for all passes.
+    by_origin = None if layout.small_origins else deal(pairs, o, d, layout.slice_rows)
+    by_facility = None if layout.small_facilities else deal(pairs, d, o, layout.slice_rows)
+
+    def with_origins(lookup: DataFrame) -> DataFrame:
+        if by_origin is None:
+            return pairs.join(F.broadcast(lookup), o)
+        return by_origin.attach(lookup, "inner").drop("_slice")
+
+    # As far as facilities can be broadcast, sums per origin work on the pairs where they lie.
+    lying = pairs if by_origin is None else by_origin.pairs
+
+    def with_facilities(lookup: DataFrame, how: str) -> DataFrame:
+        if by_facility is None:
+            return lying.join(F.broadcast(lookup), d, how)
+        return by_facility.attach(lookup, how).drop("_slice")
+
     per_origin = people
     if "3sfca" in methods or "e3sfca" in methods:
-        totals = _origin_totals(pairs, supply, methods, cols, layout)
+        # An origin's total of decay counts every destination, its total of capacity times decay only
+        # facilities. A facility of unknown capacity makes the latter NaN, which no share is taken of.
+        known = F.coalesce(F.col("_supply"), F.lit(float("nan")))
+        reached = lying
+        if "e3sfca" in methods:
+            reached = with_facilities(supply.withColumn("_supply", known), "left")
+        total_sums = {
+            "3sfca": {"_total_f": F.col("_f")},
+            "e3sfca": {"_total_sf": F.col("_supply") * F.col("_f")},
+        }
+        totals = sum_per_key(reached, o, _sums(total_sums, methods, F.sum))
         per_origin = people.join(totals, o, "left")
 
     demand_sums = {
@@ -82,13 +109,7 @@ def accessibility(
         # Capacity is constant per destination and is multiplied in after the sum.
         "e3sfca": {"_d_e3sfca": _share("_f", "_total_sf") * F.col("_people") * F.col("_f")},
     }
-    demand = (
-        lookup_join(
-            pairs, per_origin, o, d, "inner", small=layout.small_origins, slice_rows=layout.slice_rows
-        )
-        .groupBy(d)
-        .agg(*_sums(demand_sums, methods))
-    )
+    demand = sum_per_key(with_origins(per_origin), d, _sums(demand_sums, methods))
 
     s = F.col("_supply")
     ratios = {
@@ -109,13 +130,7 @@ def accessibility(
         "3sfca": {"_s_3sfca": F.col("_r_3sfca") * F.col("_f") * F.col("_f")},
         "e3sfca": {"_s_e3sfca": F.col("_r_e3sfca") * F.col("_f") * F.col("_f")},
     }
-    scores = (
-        lookup_join(
-            pairs, per_facility, d, o, "inner", small=layout.small_facilities, slice_rows=layout.slice_rows
-        )
-        .groupBy(o)
-        .agg(*_sums(score_sums, methods))
-    )
+    scores = sum_per_key(with_facilities(per_facility, "inner"), o, _sums(score_sums, methods))
 
     divisor = {"3sfca": "_total_f", "e3sfca": "_total_sf"}
 
@@ -133,38 +148,18 @@ def accessibility(
     return table.select(cols.point, *[final(m) for m in methods])
 
 
-def _origin_totals(
-    pairs: DataFrame, supply: DataFrame, methods: Sequence[str], cols: Columns, layout: Layout
-) -> DataFrame:
-    """(origin, ``_total_f``, ``_total_sf``), as far as ``methods`` need them.
-
-    A destination that is no facility counts in ``_total_f`` only. A facility of unknown capacity makes
-    ``_total_sf`` NaN, which no share is taken of.
-    """
-    aggregates = []
-    if "3sfca" in methods:
-        aggregates.append(F.sum("_f").alias("_total_f"))
-    if "e3sfca" in methods:
-        supply = supply.withColumn("_supply", F.coalesce(F.col("_supply"), F.lit(float("nan"))))
-        pairs = lookup_join(
-            pairs,
-            supply,
-            cols.destination,
-            cols.origin,
-            "left" if "3sfca" in methods else "inner",
-            small=layout.small_facilities,
-            slice_rows=layout.slice_rows,
-        )
-        aggregates.append(F.sum(F.col("_supply") * F.col("_f")).alias("_total_sf"))
-    return pairs.groupBy(cols.origin).agg(*aggregates)
-
-
 def _share(part: str, total: str) -> Column:
     return positive_ratio(F.col(part), F.col(total))
 
 
-def _sums(terms: dict[str, dict[str, Column]], methods: Sequence[str]) -> list[Column]:
-    wanted: dict[str, Column] = {}
-    for method in methods:
-        wanted.update(terms[method])
-    return [nan_safe_sum(term).alias(name) for name, term in wanted.items()]
+def _sums(
+    terms: dict[str, dict[str, Column]],
+    methods: Sequence[str],
+    total: Callable[[Column], Column] = nan_safe_sum,
+) -> dict[str, Column]:
+    """The aggregates that ``methods`` need; methods may share one."""
+    return {
+        name: total(term)
+        for method in methods
+        for name, term in terms.get(method, {}).items()
+    }
