@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,14 @@ from pyspark.sql import DataFrame
 METHODS = ("2sfca", "e2sfca", "m2sfca", "3sfca", "e3sfca")
 
 
+def checked_methods(methods: Sequence[str]) -> list[str]:
+    """``methods`` as a list, if they are distinct, known and at least one."""
+    chosen = list(methods)
+    if not chosen or len(set(chosen)) < len(chosen) or not set(chosen) <= set(METHODS):
+        raise ValueError(f"methods must be distinct and of {', '.join(METHODS)}, got {chosen}")
+    return chosen
+
+
 # Field names and parameter defaults that users' existing tables and studies rely on.
 @dataclass(frozen=True)
 class Columns:

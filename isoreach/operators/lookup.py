@@ -67,9 +67,11 @@ def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int) -> Dealt:
     """
     hot = hot_keys(pairs, key, slice_rows)
     slices = F.coalesce(F.col(_SLICES), F.when(F.col(key).isNull(), F.lit(_NULL_SLICES)), F.lit(1))
+    # Declared never null, lest a join on it puts a null filter below one use of the shuffle only.
+    picked = F.coalesce(F.pmod(F.xxhash64(spread_by), slices.cast("long")), F.lit(0).cast("long"))
     dealt = (
         pairs.join(F.broadcast(hot), key, "left")
-        .withColumn(_SLICE, F.pmod(F.xxhash64(spread_by), slices.cast("long")))
+        .withColumn(_SLICE, picked)
         .drop(_SLICES)
         .repartition(key, _SLICE)
     )

@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import METHODS, Columns, Layout, Params, measure_layout
+from ..config import METHODS, Columns, Layout, Params, checked_methods, measure_layout
 from ..functions import nan_safe_sum, positive_ratio, safe_ratio, weight
 from ..operators.catchment import within_catchment
 from ..operators.lookup import deal, sum_per_key
@@ -52,9 +52,7 @@ def accessibility(
     ``layout`` the two small tables are counted first, which is the only job started here. The pairs
     are read up to three times: where they come from a costly query, store them as a table before.
     """
-    unknown = [m for m in methods if m not in METHODS]
-    if unknown or not methods or len(set(methods)) < len(methods):
-        raise ValueError(f"methods must be distinct and of {', '.join(METHODS)}, got {list(methods)}")
+    methods = checked_methods(methods)
     layout = layout or measure_layout(origins, facilities)
     if params.decay == "gaussian" and (params.d0 / params.decay_f) ** 2 > _LARGEST_EXPONENT:
         return accessibility_by_steps(

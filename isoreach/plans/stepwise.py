@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators as ops
-from ..config import METHODS, Columns, Layout, Params, measure_layout
+from ..config import METHODS, Columns, Layout, Params, checked_methods, measure_layout
 
 
 def accessibility_by_steps(
@@ -26,6 +26,7 @@ def accessibility_by_steps(
     scale: float = 1.0,
 ) -> DataFrame:
     """Same contract as ``accessibility``."""
+    methods = checked_methods(methods)
     layout = layout or measure_layout(origins, facilities)
     common = dict(params=params, cols=cols, layout=layout)
     pairs = ops.within_catchment(od, params, cols)
@@ -45,10 +46,8 @@ def accessibility_by_steps(
         if method == "3sfca":
             rj = ops.rj_3sfca(chosen, origins, facilities, **common)
             return ops.spai_3sfca(chosen, rj, origins, **common)
-        if method == "e3sfca":
-            rj = ops.rj_e3sfca(huff, origins, facilities, **common)
-            return ops.spai_e3sfca(huff, rj, origins, **common)
-        raise ValueError(f"unknown method {method!r}, known are {', '.join(METHODS)}")
+        rj = ops.rj_e3sfca(huff, origins, facilities, **common)
+        return ops.spai_e3sfca(huff, rj, origins, **common)
 
     tables = [
         ops.complete_scores(score(method), origins, f"SPAI_{method}", cols) for method in methods

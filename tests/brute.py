@@ -1,0 +1,96 @@
+"""The five methods straight from their formulas, on Python dicts, for small random studies."""
+
+from __future__ import annotations
+
+import math
+
+
+def missing(x) -> bool:
+    return x is None or math.isnan(x)
+
+
+def decay_of(params):
+    if params.decay == "linear":
+        return lambda t: max((params.d0 - t) / params.d0, 0.0)
+    return lambda t: math.exp(-((t / params.decay_f) ** 2))
+
+
+def total(terms) -> float:
+    return math.fsum(x for x in terms if not missing(x))
+
+
+def plain_total(terms) -> float:
+    """inf-safe total."""
+    kept = [x for x in terms if not missing(x)]
+    return float("inf") if float("inf") in kept else math.fsum(kept)
+
+
+def ratio(s, d):
+    if missing(s):
+        return math.nan
+    if d == 0:
+        return math.nan if s == 0 else math.copysign(math.inf, s)
+    return s / d
+
+
+def finite(x) -> float:
+    return x if not missing(x) and math.isfinite(x) else 0.0
+
+
+def brute_scores(od, origins, facilities, params):
+    """od: (i, j, t) with unique pairs; origins: (id, population, i); facilities: (j, capacity)."""
+    weight = decay_of(params)
+    pairs = {(i, j): weight(t) for i, j, t in od if not missing(t) and t <= params.d0}
+    people = {i: p for _, p, i in origins}
+    supply = dict(facilities)
+
+    reach_f, reach_sf = {}, {}
+    for (i, j), f in pairs.items():
+        reach_f[i] = reach_f.get(i, 0.0) + f
+        if j in supply:
+            s = math.nan if missing(supply[j]) else supply[j]
+            reach_sf[i] = reach_sf.get(i, 0.0) + s * f
+    g = {(i, j): f / reach_f[i] if reach_f[i] > 0 else 0.0 for (i, j), f in pairs.items()}
+    h = {
+        (i, j): supply[j] * f / reach_sf[i] if reach_sf[i] > 0 else 0.0
+        for (i, j), f in pairs.items()
+        if j in supply
+    }
+
+    def demand(j, factor):
+        return total(
+            math.nan if missing(people[i]) else people[i] * factor(i, j)
+            for (i, jj) in pairs
+            if jj == j and i in people
+        )
+
+    r2, re2, rm2, r3, re3 = {}, {}, {}, {}, {}
+    for j in {j for _, j in pairs}:
+        s = supply.get(j)
+        r2[j] = ratio(s, demand(j, lambda i, j: 1.0))
+        re2[j] = ratio(s, demand(j, lambda i, j: pairs[i, j]))
+        r3[j] = finite(ratio(s, demand(j, lambda i, j: g[i, j] * pairs[i, j])))
+        d3 = demand(j, lambda i, j: h[i, j] * pairs[i, j]) if j in supply else 0.0
+        re3[j] = s / d3 if d3 > 0 else 0.0
+    for (i, j), f in pairs.items():
+        s = supply.get(j)
+        d = demand(j, lambda i, j: pairs[i, j])
+        rm2[i, j] = finite(ratio(None if missing(s) else s * f, d))
+
+    def product(*xs):
+        out = 1.0
+        for x in xs:
+            out *= x
+        return out
+
+    result = {}
+    for public, _, i in origins:
+        mine = [(i, j) for (ii, j) in pairs if ii == i]
+        result[public] = (
+            plain_total(r2[j] for _, j in mine),
+            plain_total(product(re2[k[1]], pairs[k]) for k in mine),
+            total(product(rm2[k], pairs[k]) for k in mine),
+            total(product(g[k], r3[k[1]], pairs[k]) for k in mine),
+            total(product(h[k], re3[k[1]], pairs[k]) for k in mine if k in h),
+        )
+    return result

@@ -1,0 +1,122 @@
+from __future__ import annotations
+
+import csv
+from pathlib import Path
+
+import pytest
+from fixtures import FACILITIES_A, OD_A, ORIGINS_A, SCORES_A, SCORES_B, tables_b
+from pyspark.sql import functions as F
+
+from isoreach import Columns, accessibility, run
+from isoreach.plans.job import main
+from isoreach.sources import read_facilities, read_od, read_origins, write_csv
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    routes = [(i, f"Location {i} - Destination {j}", t, j) for i, j, t in OD_A]
+    return {
+        "od": spark.createDataFrame(routes, "OriginID long, Name string, Total_time double, DID long"),
+        "origins": spark.createDataFrame(ORIGINS_A, "pointid long, grid_code double, OriginID_Point long"),
+        "facilities": spark.createDataFrame(FACILITIES_A, "OBJECTID long, capacity double"),
+    }
+
+
+@pytest.fixture(scope="module")
+def stored(raw, tmp_path_factory):
+    root = tmp_path_factory.mktemp("sources")
+    for fmt in ("parquet", "csv", "orc", "json"):
+        for name, df in raw.items():
+            df.write.format(fmt).option("header", True).save(f"{root}/{fmt}/{name}")
+    return root
+
+
+def read_back(folder) -> list[dict]:
+    rows = []
+    for part in sorted(Path(folder).glob("part-*.csv")):
+        with part.open() as file:
+            rows += list(csv.DictReader(file))
+    return rows
+
+
+def assert_result(rows, scores):
+    assert [int(r["pointid"]) for r in rows] == sorted(scores)
+    for row in rows:
+        assert [float(v) for v in list(row.values())[1:]] == pytest.approx(scores[int(row["pointid"])])
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "orc", "json"])
+def test_formats_give_the_same_tables(spark, stored, fmt):
+    od = read_od(spark, f"{stored}/{fmt}/od", fmt)
+    assert od.dtypes == [("OriginID", "bigint"), ("DestinationID", "string"), ("Total_time", "double")]
+    assert sorted(map(tuple, od.collect())) == [(i, str(j), t) for i, j, t in OD_A]
+    origins = read_origins(spark, f"{stored}/{fmt}/origins", fmt)
+    assert sorted(map(tuple, origins.collect())) == ORIGINS_A
+    facilities = read_facilities(spark, f"{stored}/{fmt}/facilities", fmt)
+    assert sorted(map(tuple, facilities.collect())) == [(j, s, str(j)) for j, s in FACILITIES_A]
+
+
+def test_catalog_table_and_ready_destination_id(spark, raw):
+    raw["od"].write.mode("overwrite").saveAsTable("routes_a")
+    od = read_od(spark, "routes_a", "table", destination_id_col="DID")
+    assert sorted(map(tuple, od.collect())) == [(i, str(j), t) for i, j, t in OD_A]
+
+
+def test_text_ids_and_integer_numbers(spark, tmp_path):
+    (tmp_path / "origins.csv").write_text("code,people,node\nCZ01,7,1\nCZ02,,2\n")
+    cols = Columns(point="code", population="people", join_id="node")
+    got = read_origins(spark, str(tmp_path / "origins.csv"), "csv", cols, id_type="string")
+    assert sorted(map(tuple, got.collect())) == [("CZ01", 7.0, "1"), ("CZ02", None, "2")]
+    df = spark.createDataFrame([(5, 3)], "OBJECTID int, capacity int")
+    df.write.parquet(str(tmp_path / "fac"))
+    assert tuple(read_facilities(spark, str(tmp_path / "fac")).first()) == (5, 3.0, "5")
+
+
+def test_malformed_numbers_are_refused(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("OBJECTID,capacity\n5,many\n")
+    with pytest.raises(Exception, match="many"):
+        read_facilities(spark, str(tmp_path / "f.csv"), "csv").collect()
+
+
+def test_csv_is_sorted_within_and_across_files(spark, tmp_path):
+    scores = spark.range(1000).select((999 - F.col("id")).alias("pointid"), F.rand(1).alias("SPAI_x"))
+    write_csv(scores.repartition(5), str(tmp_path / "many"))
+    assert [int(r["pointid"]) for r in read_back(tmp_path / "many")] == list(range(1000))
+    write_csv(scores.repartition(5), str(tmp_path / "one"), single_file=True)
+    assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
+    assert [int(r["pointid"]) for r in read_back(tmp_path / "one")] == list(range(1000))
+
+
+def test_single_file_is_refused_for_a_large_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("isoreach.sources.results.SINGLE_FILE_ROWS", 10)
+    with pytest.raises(ValueError, match="11 rows"):
+        write_csv(spark.range(11).toDF("pointid"), str(tmp_path / "one"), single_file=True)
+
+
+def test_infinite_scores_can_be_read_back(spark, tmp_path):
+    write_csv(accessibility(*tables_b(spark)), str(tmp_path / "scores"))
+    assert_result(read_back(tmp_path / "scores"), SCORES_B)
+
+
+def test_run_from_files_to_csv(spark, stored, tmp_path):
+    for fmt in ("parquet", "csv"):
+        where = f"{stored}/{fmt}"
+        out = tmp_path / fmt
+        run(spark, f"{where}/od", f"{where}/origins", f"{where}/facilities", str(out), fmt=fmt, check_pairs=True)
+        assert_result(read_back(out), SCORES_A)
+
+
+def test_command(spark, stored, tmp_path, capsys):
+    where, out = f"{stored}/parquet", str(tmp_path / "out")
+    arguments = ["--od", f"{where}/od", "--origins", f"{where}/origins", "--facilities", f"{where}/facilities"]
+    main([*arguments, "--output", out, "--methods", "2sfca", "--scale", "10", "--single-file"])
+    assert out in capsys.readouterr().out
+    assert_result(read_back(out), {k: (10 * v[0],) for k, v in SCORES_A.items()})
+
+
+def test_run_refuses_repeated_ids(spark, raw, stored, tmp_path):
+    twice = str(tmp_path / "twice")
+    raw["facilities"].union(raw["facilities"]).write.parquet(twice)
+    where = f"{stored}/parquet"
+    with pytest.raises(ValueError, match="facilities"):
+        run(spark, f"{where}/od", f"{where}/origins", twice, str(tmp_path / "out"))
