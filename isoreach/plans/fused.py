@@ -76,11 +76,10 @@ def accessibility(
             return pairs.join(F.broadcast(lookup), o)
         return by_origin.attach(lookup, "inner").drop("_slice")
 
-    # As far as facilities can be broadcast, sums per origin work on the pairs where they lie.
-    lying = pairs if by_origin is None else by_origin.pairs
-
     def with_facilities(lookup: DataFrame, how: str) -> DataFrame:
+        """Leaves the pairs where they lie, dealt by origin or not, if facilities can be broadcast."""
         if by_facility is None:
+            lying = pairs if by_origin is None else by_origin.pairs
             return lying.join(F.broadcast(lookup), d, how)
         return by_facility.attach(lookup, how).drop("_slice")
 
@@ -89,7 +88,7 @@ def accessibility(
         # An origin's total of decay counts every destination, its total of capacity times decay only
         # facilities. A facility of unknown capacity makes the latter NaN, which no share is taken of.
         known = F.coalesce(F.col("_supply"), F.lit(float("nan")))
-        reached = lying
+        reached = pairs
         if "e3sfca" in methods:
             reached = with_facilities(supply.withColumn("_supply", known), "left")
         total_sums = {
