@@ -60,7 +60,8 @@ def test_bad_parameters(bad):
 
 def test_last_word_is_pythons_split(spark):
     spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0"]
-    spaces += [" ", " ", " ", " ", " ", " ", "　", "​", "﻿"]
+    spaces += [chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    spaces += [chr(c) for c in (0x180E, 0x200B, 0x2060, 0xFEFF)]  # these four are no white space
     words = ["5", "007", "-3", "+4", "1.50", "9223372036854775807", "99999999999999999999", "abc", "žluť"]
     samples = ["Location 1 - Destination 5", " a 7 ", "", " ", "\xa0", "a\nb 5\n", "5\t", "a b\x1c7", None]
     samples += [f"Location 1 - Destination{s}{w}" for s in spaces for w in words]

@@ -84,18 +84,23 @@ def test_small_tables_leave_the_pairs_where_they_are(stored):
     assert exchanges.count("DestinationID") <= 2
 
 
+def dealt_by(plan: str, key: str) -> list[str]:
+    pattern = rf"- Exchange hashpartitioning\({key}#\d+L?, _slice"
+    return [x for x in plan.splitlines() if re.search(pattern, x) and "REPARTITION_BY_COL" in x]
+
+
 def test_many_origins_move_the_pairs_once(stored):
     plan = final_plan_of(accessibility(*stored, layout=Layout(small_facilities=True)))
-    dealt = [
-        line
-        for line in plan.splitlines()
-        if re.search(r"- Exchange hashpartitioning\(OriginID#\d+L, _slice", line) and "REPARTITION_BY_COL" in line
-    ]
-    assert len(dealt) == 1
+    assert len(dealt_by(plan, "OriginID")) == 1 and not dealt_by(plan, "DestinationID")
     # Besides the one that deals, only the pass that looks for hot origins reads the table.
     assert len(od_scans(plan)) <= 3
 
 
+def test_many_facilities_move_the_pairs_once_more(stored):
+    plan = final_plan_of(accessibility(*stored, layout=Layout()))
+    assert len(dealt_by(plan, "OriginID")) == 1 and len(dealt_by(plan, "DestinationID")) == 1
+
+
 def test_no_method_asks_for_facilities_twice_over(spark):
     """The fused plan of five methods has fewer joins than two methods by steps."""
     fused = plan_of(accessibility(*tables_b(spark), layout=BROADCAST))
