@@ -18,6 +18,15 @@ from isoreach.config import METHODS
 from isoreach.functions import binary_weight, gaussian_weight, last_word, linear_weight
 from isoreach.sources import facility_table, od_table, origin_table
 
+try:
+    import corpus_pipeline
+    from isoreach.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The training-data operators can be taken out of the repository.
+    if missing.name not in ("corpus_pipeline", "isoreach.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -265,7 +274,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    known = {
         "parse_destination_id": parse_destination_id,
         "parse_last_word": parse_last_word,
         "load_od": load_od,
@@ -303,6 +312,7 @@ def queries() -> dict[str, Query]:
         "dedupe_od": dedupe_od,
         "repeated_pairs": repeated_pairs,
     }
+    return known | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else known
 
 
 def accessibility_gaps_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,4 +487,7 @@ def oracle_sql() -> dict[str, str]:
         )
     for method in METHODS:
         sql[f"spai_{method}"] = _reached_scores(method)
-    return sql
+    if not llm:
+        return sql
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return sql | llm.ORACLE_SQL | whole
