@@ -8,8 +8,12 @@ from pyspark.sql.utils import AnalysisException
 
 from isoreach.llm.storage import shared_folder, written
 
-#: Fixed value: the state store that keeps its keys on disk.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys are kept on disk, and a partition of the state leaves its executor when its batch is done: what
+#: an executor holds is the state in work, not its share of all that was ever seen.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: str | Column) -> Column:
@@ -42,7 +46,8 @@ def streamed_groups(
     source = folder or shared_folder(spark, "stream-source")
     fingerprints.write.mode("append").parquet(source)
     states, progress = shared_folder(spark, "stream-states"), shared_folder(spark, "stream-progress")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
 
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{states}/batch={batch}")
