@@ -297,7 +297,7 @@ class WarcReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
-        self.partition_bytes = int(options.get("partitionbytes", 1 << 27))
+        self.partition_bytes = int(options.get("partitionbytes", 1 << 25))
         self.payload = options.get("payload", "true").lower() != "false"
         self.allowed: dict[str, set[str]] = {}
         if types := options.get("types"):
