@@ -78,8 +78,9 @@ def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def subwords(words: Words, shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the word, bucket) of every n-gram of bytes, a blank marking a word's ends."""
-    raw, found = _LOWER[words.raw], []
+    """(number of the word, bucket) of every word itself and its n-grams of bytes, a blank marking its ends."""
+    raw = _LOWER[words.raw]
+    found = [(np.arange(len(words.start)), bucket(words.hashes(), buckets))]
     blank = _SPACE[raw]
     raw = np.where(blank, np.uint8(0x20), raw)
     owner = np.cumsum(np.concatenate([[0], ((~blank[1:]) & blank[:-1]).astype(np.int32)])) - 1
@@ -93,12 +94,10 @@ def subwords(words: Words, shortest: int, longest: int, buckets: int) -> tuple[n
             value = value[:many] * _BASE + raw[n - 1 :].astype(np.uint64) + np.uint64(1)
             if n < shortest:
                 continue
-            # No blank strictly inside, and the one before a word is not the end of the word before it.
-            inside = blanks[n - 1 : n - 1 + many] - blanks[1 : 1 + many] == 0
-            at = np.flatnonzero(inside & ~(blank[:many] & blank[n - 1 :]))
+            # No blank strictly inside; of two bytes, one at most.
+            inside = blanks[n - 1 : n - 1 + many] - blanks[1 : 1 + many] == 0 if n > 2 else ~(blank[:many] & blank[n - 1 :])
+            at = np.flatnonzero(inside & (blanks[n : n + many] - blanks[:many] < n))
             found.append((owner[np.where(blank[at], at + 1, at)], bucket(value[at] + np.uint64(n), buckets)))
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     own, cells = (np.concatenate(c) for c in zip(*found, strict=True))
     return own, cells
 

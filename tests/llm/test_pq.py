@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from isoreach.llm.pq_dedup import PqParams, near_vectors
+
+ODD = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0]]
+
+
+def brute(rows):
+    good = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good[i] = np.array(v, float)
+    links = {i: set() for i, _ in rows}
+    names = list(good)
+    for a in names:
+        for b in names:
+            if a != b and len(good[a]) == len(good[b]):
+                x, y = (v / np.abs(v).max() for v in (good[a], good[b]))
+                if x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.95:
+                    links[a].add(b)
+    out = []
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out.append((i, len(links[i]), min(seen), min(seen) == i))
+    return sorted(out)
+
+
+def vectors(seed: int, width: int = 16):
+    draw = np.random.default_rng(seed)
+    rows = []
+    for centre in draw.normal(size=(25, width)):
+        for _ in range(8):
+            rows.append((centre + draw.normal(size=width) * 0.25).astype(np.float32).tolist())
+    rows += [rows[3]] * 40 + [(np.array(rows[5]) * 1e30).tolist(), (np.array(rows[6]) * 1e-30).tolist()]
+    ids = draw.permutation(len(rows) + 10)[: len(rows)].tolist()
+    return list(zip(ids, rows, strict=True))
+
+
+@pytest.mark.parametrize("block", [2048, 20])
+@pytest.mark.parametrize("params", [PqParams(sigmas=None, lists=12), PqParams(lists=8, subspaces=4, centres=5, sample=60)])
+def test_all_links_are_found(spark, block, params):
+    rows = vectors(1) + [(1000 + i, v) for i, v in enumerate(ODD)] + [(2000, vectors(1)[0][1][:9]), (2001, vectors(1)[0][1] + [0.0])]
+    df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, weight int")
+    got = sorted(map(tuple, near_vectors(df, params=params, block=block).collect()))
+    assert got == brute(rows)
+
+
+def test_null_ids_and_nothing_usable(spark):
+    rows = [(None, [1.0, 0.0]), (4, [2.0, 0.1]), (None, [5.0, 0.0]), (None, [1.0, 0.0]), (6, [1.0, 0.0]), (None, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, near_vectors(df).collect()), key=str)
+    assert [r for r in got if r[0] is not None] == [(4, 3, 4, True), (6, 3, 4, False)]
+    assert not any(r[3] for r in got if r[0] is None)
+    for rows in ([], [(1, None), (2, [0.0])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, near_vectors(df).collect())) == [(i, 0, i, True) for i, _ in rows]

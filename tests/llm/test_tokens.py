@@ -1,0 +1,97 @@
+"""Token counts and packing against the tokenizers library."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from isoreach.llm.byte_bpe import encoder, segments
+from isoreach.llm.packing import pack, piece_digests
+from isoreach.llm.token_count import balanced, count_tokens
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(BPE)
+ids_of = lambda t: LIBRARY.encode(t or "", add_special_tokens=False).ids
+ROWS = [
+    (1, "Hello there, it's 12345 <|endoftext|> end"),
+    (2, None),
+    (3, ""),
+    (4, "lorem ipsum dolor " * 400),
+    (5, "a" * 5000),
+    (6, " \n\t " * 300),
+    (None, "no id"),
+    (1, "Hello there, it's 12345 <|endoftext|> end"),
+    (7, "日本語😀\u0000x"),
+]
+
+
+@given(st.one_of(st.text(max_size=300), st.text(alphabet="ab '\n s1,<|endoftext|>", max_size=300)), st.integers(1, 50))
+@settings(max_examples=300, deadline=None)
+def test_encoder_and_segments(text, size):
+    encode, many = encoder(BPE)
+    assert many == 50257
+    assert encode(text) == ids_of(text)
+    parts = segments(text, size)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in encode(p)] == ids_of(text)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies(name):
+    path = public_tokenizers.path(name)
+    encode, _ = encoder(path)
+    if name.endswith(".json"):
+        assert encode("Some Words here") == Tokenizer.from_file(path).encode("Some Words here", add_special_tokens=False).ids
+    else:
+        import sentencepiece
+
+        assert encode("Some Words") == sentencepiece.SentencePieceProcessor(model_file=path).encode("Some Words")
+
+
+def test_batches_are_balanced():
+    texts = ["word " * n for n in (1, 400, 3, 90, 1, 1)]
+    batches = list(balanced(texts, 300, 100))
+    assert max(sum(len(p) for _, p in b) for b in batches) < 420
+    assert ["".join(p for b in batches for i, p in b if i == n) for n in range(6)] == texts
+
+
+def _docs(spark, rows=ROWS):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, ids string, part int")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 50, "segment_chars": 30}])
+def test_counts(spark, sizes):
+    got = count_tokens(_docs(spark), BPE, limit=100, **sizes).collect()
+    want = [(i, len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 100) for i, t in ROWS]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert count_tokens(_docs(spark, []), BPE).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_packing(spark, partitions):
+    length = 64
+    pieces = piece_digests(pack(_docs(spark).repartition(partitions), BPE, length=length)).collect()
+    total = sum(len(ids_of(t)) + 1 for _, t in ROWS)
+    taken = np.zeros(total, int)
+    for p in pieces:
+        assert 0 < p.length and p.offset + p.length <= length
+        taken[p.sequence_id * length + p.offset :][: p.length] += 1
+    assert (taken == 1).all()
+    crcs = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    for i, t in {r for r in ROWS}:
+        ids = [*ids_of(t), 0]
+        own = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        assert sum(p.length for p in own) == len(ids) * sum(r == (i, t) for r in ROWS)
+        for p in own:
+            assert p.doc_tokens == len(ids)
+            assert p.ids_crc32 == crcs(ids[p.start : p.start + p.length])
+
+
+def test_packing_nothing(spark):
+    assert pack(_docs(spark, []), BPE).count() == 0
