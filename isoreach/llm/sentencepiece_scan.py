@@ -198,7 +198,7 @@ class Chunk:
         """First and last place inside where a piece must begin whatever stands around it."""
         spots = [m.start() for m in re.finditer(f"(?<=[A-Za-z]){BLANK}(?=[A-Za-z])", self.text[: self.end])]
         spots = [s for s in spots if s >= self.begin + 32]
-        return (spots[0], spots[-1]) if len(spots) > 1 and not self.last else None
+        return (spots[0], spots[-1]) if len(spots) > 1 else None
 
     def states(self, vocab: Vocabulary) -> tuple[list[State], list[State]]:
         left = [("", 0)] if self.first else edge_states(vocab, self.text, self.begin)
