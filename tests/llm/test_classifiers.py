@@ -22,7 +22,7 @@ def models(spark, tables):
     return toxicity.fit(*tables), quality.fit(*tables)
 
 
-@pytest.mark.parametrize(("which", "label", "folds", "held", "least"), [(0, "toxic", 5, 0, 0.97), (1, "quality", 3, 1, 0.97)])
+@pytest.mark.parametrize(("which", "label", "folds", "held", "least"), [(0, "toxic", 5, 0, 0.95), (1, "quality", 3, 1, 0.97)])
 def test_held_out_accuracy(tables, models, which, label, folds, held, least):
     docs, labels = tables
     score = (toxicity, quality)[which].score_texts(docs, models[which])
