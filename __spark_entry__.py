@@ -171,9 +171,9 @@ def _ratio(method: str) -> Query:
     return query
 
 
-def _ratio_table(spark: SparkSession, sf_dir: str, method: str):
-    od_df, origins_df, facilities_df = _study(spark, sf_dir)
-    layout = measure_layout(origins_df, facilities_df)
+def _ratio_table(spark: SparkSession, sf_dir: str, method: str, study=None, layout: Layout | None = None):
+    od_df, origins_df, facilities_df = study or _study(spark, sf_dir)
+    layout = layout or measure_layout(origins_df, facilities_df)
     pairs = ops.within_catchment(od_df)
     per_facility = ["DestinationID"]
     if method == "2sfca":
@@ -194,10 +194,10 @@ def _spai(method: str) -> Query:
     """The score of one method before completion, so only for origins that reach a facility."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        od_df, origins_df, facilities_df = _study(spark, sf_dir)
+        od_df, origins_df, facilities_df = study = _study(spark, sf_dir)
         layout = measure_layout(origins_df, facilities_df)
         pairs = ops.within_catchment(od_df)
-        ratios, _, _ = _ratio_table(spark, sf_dir, method)
+        ratios, _, _ = _ratio_table(spark, sf_dir, method, study, layout)
         if method == "2sfca":
             scores = ops.spai_2sfca(pairs, ratios, origins_df, layout=layout)
         elif method == "e2sfca":
@@ -311,10 +311,47 @@ def queries() -> dict[str, Query]:
         "accessibility_gaps_stepwise": accessibility_gaps_stepwise,
         "dedupe_od": dedupe_od,
         "repeated_pairs": repeated_pairs,
+        "accessibility_no_demand": no_demand("inf"),
+        "accessibility_no_demand_zero": no_demand("zero"),
+        "accessibility_missing_times": missing_times,
+        "accessibility_unknown_origins": unknown_origins,
     }
     return known | llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else known
 
 
+def no_demand(zero_demand: str) -> Query:
+    """Within 5 minutes of most suppliers lives nobody: only customers with a full account count as people."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        people = F.floor(F.greatest(F.col("c_acctbal") - 9000, F.lit(0.0)))
+        few = _scan(spark, sf_dir, "customer").select(
+            (F.col("c_custkey") + 100000).alias("pointid"),
+            people.alias("grid_code"),
+            F.col("c_custkey").alias("OriginID_Point"),
+        )
+        params = Params(d0=5.0, zero_demand=zero_demand)
+        od_df, places = od(spark, sf_dir), facilities(spark, sf_dir)
+        return _rounded_scores(accessibility(od_df, origin_table(few), places, params=params))
+
+    return query
+
+
+def missing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No time is known for the routes whose smallest quantity is 7."""
+    known = routes(spark, sf_dir).withColumn("Total_time", F.nullif(F.col("Total_time"), F.lit(7.0)))
+    return _rounded_scores(accessibility(od_table(known), origins(spark, sf_dir), facilities(spark, sf_dir)))
+
+
+def unknown_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in debt are on routes but not among the origins."""
+    solvent = _scan(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0).select(
+        (F.col("c_custkey") + 100000).alias("pointid"),
+        F.floor("c_acctbal").alias("grid_code"),
+        F.col("c_custkey").alias("OriginID_Point"),
+    )
+    return _rounded_scores(accessibility(od(spark, sf_dir), origin_table(solvent), facilities(spark, sf_dir)))
+
+
 def accessibility_gaps_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_scores(
         accessibility_by_steps(
@@ -353,10 +390,17 @@ _GAUSSIAN = "exp(-(t / 15.0::DOUBLE) * (t / 15.0::DOUBLE))"
 _LINEAR = "(30.0::DOUBLE - t) / 30.0::DOUBLE"
 
 
-def _steps(d0: int = 30, decay: str = _GAUSSIAN, supply: str = _SUPPLY) -> str:
+_FEW_PEOPLE = _PEOPLE.replace("c_acctbal, 0", "c_acctbal - 9000, 0")
+_SOLVENT = _PEOPLE.replace("FROM customer", "FROM customer WHERE c_acctbal >= 0")
+_ROUTES_WITH_GAPS = _ROUTES.replace("min(l_quantity)", "nullif(min(l_quantity), 7)")
+
+
+def _steps(
+    d0: int = 30, decay: str = _GAUSSIAN, supply: str = _SUPPLY, people: str = _PEOPLE, routes: str = _ROUTES
+) -> str:
     """Pairs with both shares, all ratios and all scores, one WITH clause."""
     return f"""
-WITH {_ROUTES}, {_PEOPLE}, {supply},
+WITH {routes}, {people}, {supply},
 pairs AS (
   SELECT r.o, r.d, t, {decay} AS f, supply.d IS NOT NULL AS known, s
   FROM routes r LEFT JOIN supply ON r.d = supply.d WHERE t <= {d0}
@@ -473,6 +517,10 @@ def oracle_sql() -> dict[str, str]:
         "accessibility_sliced": _all_scores(),
         "accessibility_gaps": _all_scores(supply=_SUPPLY_GAPS),
         "accessibility_gaps_stepwise": _all_scores(supply=_SUPPLY_GAPS),
+        "accessibility_no_demand": _all_scores(d0=5, people=_FEW_PEOPLE),
+        "accessibility_no_demand_zero": _all_scores(d0=5, people=_FEW_PEOPLE).replace("'inf'::DOUBLE", "0"),
+        "accessibility_missing_times": _all_scores(routes=_ROUTES_WITH_GAPS),
+        "accessibility_unknown_origins": _all_scores(people=_SOLVENT),
         "dedupe_od": f"""
             SELECT o_custkey AS OriginID, CAST(l_suppkey AS VARCHAR) AS DestinationID,
                    min(l_quantity) AS Total_time

@@ -62,13 +62,18 @@ class Layout:
     """Which lookup tables were measured small enough to broadcast, and how finely to cut hot keys.
 
     A lookup that is not small is joined by a shuffle in which every key with more than
-    ``slice_rows`` pairs is spread over several tasks (see ``operators.lookup``).
+    ``slice_rows`` pairs is spread over several tasks (see ``operators.lookup``). Up to
+    ``pairs / slice_rows`` such keys are broadcast, so that values far below the default suit small tables.
     """
 
     small_origins: bool = False
     small_facilities: bool = False
     slice_rows: int = 50_000_000
 
+    def __post_init__(self) -> None:
+        if not self.slice_rows > 0:
+            raise ValueError(f"slice_rows must be positive, got {self.slice_rows}")
+
 
 def measure_layout(
     origins: DataFrame,
@@ -81,6 +86,8 @@ def measure_layout(
 
     A lookup row is a key and at most seven doubles, so a million rows are some 150 MB per executor.
     """
+    if not broadcast_rows >= 0:
+        raise ValueError(f"broadcast_rows must not be negative, got {broadcast_rows}")
     return Layout(
         small_origins=origins.count() <= broadcast_rows,
         small_facilities=facilities.count() <= broadcast_rows,

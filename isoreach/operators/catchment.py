@@ -28,6 +28,12 @@ def within_catchment(
 
 
 def dedupe_od(od: DataFrame, cols: Columns = Columns()) -> DataFrame:
-    """One row per (origin, destination): the shortest time. Combined before the shuffle."""
+    """One row per (origin, destination): the shortest time. Combined before the shuffle.
+
+    Routes without a destination have no key to repeat and are all kept, as ``validate_od`` sees them.
+    """
     shortest = F.min(F.nanvl(F.col(cols.time), F.lit(None).cast("double")))
-    return od.groupBy(cols.origin, cols.destination).agg(shortest.alias(cols.time))
+    named = od.filter(F.col(cols.destination).isNotNull())
+    unnamed = od.filter(F.col(cols.destination).isNull()).select(cols.origin, cols.destination, cols.time)
+    once = named.groupBy(cols.origin, cols.destination).agg(shortest.alias(cols.time))
+    return once.unionByName(unnamed)

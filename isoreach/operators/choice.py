@@ -12,23 +12,16 @@ from pyspark.sql import functions as F
 from ..config import Columns, Layout, Params
 from ..functions import nan_safe_sum, positive_ratio, weight
 from .catchment import within_catchment
-from .lookup import lookup_join
+from .lookup import deal, lookup_join, sum_per_key
 from .tables import supply_table
 
 
 def _with_share(
     pairs: DataFrame, part: str, total: Column, share: str, cols: Columns, layout: Layout
 ) -> DataFrame:
-    """Adds ``share``: ``part`` over the origin's ``total``."""
-    joined = lookup_join(
-        pairs,
-        pairs.groupBy(cols.origin).agg(total.alias("_total")),
-        cols.origin,
-        cols.destination,
-        "left",
-        small=False,
-        slice_rows=layout.slice_rows,
-    )
+    """Adds ``share``: ``part`` over the origin's ``total``, summed and attached where the pairs are dealt."""
+    dealt = deal(pairs, cols.origin, cols.destination, layout.slice_rows)
+    joined = dealt.attach(sum_per_key(dealt.pairs, cols.origin, {"_total": total}), "left")
     return joined.select(*pairs.columns, positive_ratio(F.col(part), F.col("_total")).alias(share))
 
 

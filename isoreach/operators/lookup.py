@@ -62,13 +62,15 @@ class Dealt:
 def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int) -> Dealt:
     """Shuffles ``pairs`` by ``key``, with keys of more than ``slice_rows`` pairs cut into slices.
 
-    A hash of ``spread_by`` picks the slice, so a task that is run again deals its pairs out alike.
-    Pairs without a key are spread too.
+    A hash of ``spread_by`` and all other columns picks the slice: it is a function of the row, so a task
+    that is run again deals its pairs out alike, and a hot key is cut even where ``spread_by`` is the
+    same throughout. Pairs without a key are spread too.
     """
     hot = hot_keys(pairs, key, slice_rows)
     slices = F.coalesce(F.col(_SLICES), F.when(F.col(key).isNull(), F.lit(_NULL_SLICES)), F.lit(1))
     # Declared never null, lest a join on it puts a null filter below one use of the shuffle only.
-    picked = F.coalesce(F.pmod(F.xxhash64(spread_by), slices.cast("long")), F.lit(0).cast("long"))
+    others = [c for c in pairs.columns if c not in (key, spread_by)]
+    picked = F.coalesce(F.pmod(F.xxhash64(spread_by, *others), slices.cast("long")), F.lit(0).cast("long"))
     dealt = (
         pairs.join(F.broadcast(hot), key, "left")
         .withColumn(_SLICE, picked)

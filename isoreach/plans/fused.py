@@ -61,7 +61,8 @@ def accessibility(
 
     o, d = cols.origin, cols.destination
     # A destination that cannot be null spares every pass a null filter that would parse the name again.
-    pairs = within_catchment(od, params, cols).select(
+    # Routes without an origin add to no score.
+    pairs = within_catchment(od, params, cols).filter(F.col(o).isNotNull()).select(
         o, F.coalesce(F.col(d), F.lit(_NO_DESTINATION)).alias(d), weight(F.col(cols.time), params).alias("_f")
     )
     people = people_table(origins, cols)
@@ -69,7 +70,8 @@ def accessibility(
 
     # A table too large to broadcast: deal the pairs out by its key once, for all passes.
     by_origin = None if layout.small_origins else deal(pairs, o, d, layout.slice_rows)
-    by_facility = None if layout.small_facilities else deal(pairs, d, o, layout.slice_rows)
+    named = pairs.filter(F.col(d) != _NO_DESTINATION)
+    by_facility = None if layout.small_facilities else deal(named, d, o, layout.slice_rows)
 
     def with_origins(lookup: DataFrame) -> DataFrame:
         if by_origin is None:
@@ -88,9 +90,13 @@ def accessibility(
         # An origin's total of decay counts every destination, its total of capacity times decay only
         # facilities. A facility of unknown capacity makes the latter NaN, which no share is taken of.
         known = F.coalesce(F.col("_supply"), F.lit(float("nan")))
-        reached = pairs
+        reached = pairs if by_origin is None else by_origin.pairs
         if "e3sfca" in methods:
             reached = with_facilities(supply.withColumn("_supply", known), "left")
+            if by_facility is not None:
+                # Routes to nowhere, perhaps many of one origin, are summed up unmoved.
+                nowhere = pairs.filter(F.col(d) == _NO_DESTINATION)
+                reached = reached.unionByName(nowhere.withColumn("_supply", F.lit(None).cast("double")))
         total_sums = {
             "3sfca": {"_total_f": F.col("_f")},
             "e3sfca": {"_total_sf": F.col("_supply") * F.col("_f")},

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
 from ..config import METHODS, Columns, Params
-from ..operators import validate_facilities, validate_od, validate_origins
+from ..operators import dedupe_od, validate_facilities, validate_od, validate_origins
 from ..sources import read_facilities, read_od, read_origins, write_csv
 from .fused import accessibility
 
@@ -28,24 +28,29 @@ def run(
     id_type: str = "long",
     scale: float = 1.0,
     check_pairs: bool = False,
-    single_file: bool = False,
+    dedupe: bool = False,
+    options: Mapping[str, str] | None = None,
     mode: str = "errorifexists",
 ) -> None:
     """Reads, checks the ids, computes and writes.
 
-    ``check_pairs`` also looks for repeated routes, which shuffles the travel-time table once more.
+    ``check_pairs`` also looks for repeated routes, which shuffles the travel-time table once more;
+    ``dedupe`` keeps the shortest of them instead. ``options`` are the reader's, for all three tables.
     """
-    od_df = read_od(spark, od, fmt, cols, destination_id_col=destination_id_col, id_type=id_type)
-    origins_df = read_origins(spark, origins, fmt, cols, id_type=id_type)
-    facilities_df = read_facilities(spark, facilities, fmt, cols, id_type=id_type)
+    options = dict(options or {})
+    od_df = read_od(spark, od, fmt, cols, destination_id_col=destination_id_col, id_type=id_type, options=options)
+    origins_df = read_origins(spark, origins, fmt, cols, id_type=id_type, options=options)
+    facilities_df = read_facilities(spark, facilities, fmt, cols, id_type=id_type, options=options)
     validate_origins(origins_df, cols)
     validate_facilities(facilities_df, cols)
-    if check_pairs:
+    if dedupe:
+        od_df = dedupe_od(od_df, cols)
+    elif check_pairs:
         validate_od(od_df, cols)
     scores = accessibility(
         od_df, origins_df, facilities_df, methods=methods, params=params, cols=cols, scale=scale
     )
-    write_csv(scores, output, cols, mode=mode, single_file=single_file)
+    write_csv(scores, output, cols, mode=mode)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -60,14 +65,15 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--decay-f", type=float, default=defaults.decay_f)
     parser.add_argument("--decay", choices=("gaussian", "linear"), default=defaults.decay)
     parser.add_argument("--zero-demand", choices=("inf", "zero"), default=defaults.zero_demand)
-    parser.add_argument("--point-field", default=names.point)
-    parser.add_argument("--population-field", default=names.population)
-    parser.add_argument("--capacity-field", default=names.capacity)
+    fields = ("origin", "name", "time", "point", "population", "join_id", "facility", "capacity")
+    for field in fields:
+        parser.add_argument(f"--{field.replace('_', '-')}-field", default=getattr(names, field))
     parser.add_argument("--destination-id-field")
     parser.add_argument("--id-type", default="long")
     parser.add_argument("--scale", type=float, default=1.0)
     parser.add_argument("--check-pairs", action="store_true")
-    parser.add_argument("--single-file", action="store_true")
+    parser.add_argument("--dedupe", action="store_true", help="keep the shortest of repeated routes")
+    parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="of the reader")
     parser.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("isoreach").getOrCreate()
@@ -80,14 +86,13 @@ def main(argv: Sequence[str] | None = None) -> None:
         fmt=args.format,
         methods=args.methods,
         params=Params(args.d0, args.decay_f, args.decay, args.zero_demand),
-        cols=Columns(
-            point=args.point_field, population=args.population_field, capacity=args.capacity_field
-        ),
+        cols=Columns(**{field: getattr(args, f"{field}_field") for field in fields}),
         destination_id_col=args.destination_id_field,
         id_type=args.id_type,
         scale=args.scale,
         check_pairs=args.check_pairs,
-        single_file=args.single_file,
+        dedupe=args.dedupe,
+        options=dict(option.split("=", 1) for option in args.option),
         mode="overwrite" if args.overwrite else "errorifexists",
     )
     print(f"Accessibility scores written to {args.output}")

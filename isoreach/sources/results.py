@@ -2,36 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..config import Columns
 
-SINGLE_FILE_ROWS = 5_000_000
 
-
-def write_csv(
-    scores: DataFrame,
-    path: str,
-    cols: Columns = Columns(),
-    *,
-    mode: str = "errorifexists",
-    single_file: bool = False,
-) -> None:
-    """Writes a folder of CSV files with headers, sorted by id within and across the files.
-
-    ``single_file`` leaves one file in the folder. One task writes it, so more than
-    ``SINGLE_FILE_ROWS`` rows are refused.
-    """
-    if not single_file:
-        scores.orderBy(cols.point).write.mode(mode).option("header", True).csv(path)
-        return
-    kept = scores.persist(StorageLevel.DISK_ONLY)
-    try:
-        rows = kept.count()
-        if rows > SINGLE_FILE_ROWS:
-            raise ValueError(f"{rows} rows are too many for a single file")
-        in_order = kept.repartition(1).sortWithinPartitions(cols.point)
-        in_order.write.mode(mode).option("header", True).csv(path)
-    finally:
-        kept.unpersist()
+def write_csv(scores: DataFrame, path: str, cols: Columns = Columns(), *, mode: str = "errorifexists") -> None:
+    """Writes a folder of CSV files with headers, sorted by id within and across the files."""
+    scores.orderBy(cols.point).write.mode(mode).option("header", True).csv(path)

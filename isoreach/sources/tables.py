@@ -27,7 +27,7 @@ def _open(spark: SparkSession, source: str, fmt: str, options: Mapping[str, str]
 
 
 def _id(df: DataFrame, column: str, id_type: str) -> Column:
-    if isinstance(df.schema[column].dataType, T.StringType):
+    if isinstance(df.select(column).schema[0].dataType, T.StringType):
         return F.col(column).cast(id_type).alias(column)
     return F.col(column)
 

@@ -154,6 +154,30 @@ def test_dedupe_keeps_the_shortest_route(spark):
     assert by_pair(ops.dedupe_od(od), "Total_time") == {(1, "5"): 4.0, (2, "5"): 7.0, (3, "5"): None}
 
 
+def test_dedupe_keeps_routes_without_a_destination(spark):
+    rows = [(1, None, 5.0), (1, None, 9.0), (1, "7", 3.0), (1, "7", 4.0)]
+    od = spark.createDataFrame(rows, "OriginID long, DestinationID string, Total_time double")
+    once = ops.dedupe_od(od)
+    assert once.count() == 3
+    ops.validate_od(once)
+    wanted = [r.Gij for r in ops.selection_weights(od.filter("Total_time <> 4.0")).filter("DestinationID = '7'").collect()]
+    assert [r.Gij for r in ops.selection_weights(once).filter("DestinationID = '7'").collect()] == wanted
+
+
+@pytest.mark.parametrize("row", [(None, None), (5, None), (None, "8")])
+def test_hot_keys_are_cut_whatever_the_other_id_is(spark, row):
+    od = spark.range(2000).select(
+        F.lit(row[0]).cast("long").alias("OriginID"), F.lit(row[1]).alias("DestinationID"), (F.col("id") / 100).alias("Total_time")
+    )
+    for key, other in (("OriginID", "DestinationID"), ("DestinationID", "OriginID")):
+        assert deal(od, key, other, 50).pairs.select("_slice").distinct().count() >= 30
+
+
+def test_layout_is_checked():
+    with pytest.raises(ValueError, match="slice_rows"):
+        Layout(slice_rows=0)
+
+
 def test_validators(spark):
     od, origins, facilities = tables_b(spark)
     ops.validate_od(od)

@@ -82,15 +82,6 @@ def test_csv_is_sorted_within_and_across_files(spark, tmp_path):
     scores = spark.range(1000).select((999 - F.col("id")).alias("pointid"), F.rand(1).alias("SPAI_x"))
     write_csv(scores.repartition(5), str(tmp_path / "many"))
     assert [int(r["pointid"]) for r in read_back(tmp_path / "many")] == list(range(1000))
-    write_csv(scores.repartition(5), str(tmp_path / "one"), single_file=True)
-    assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1
-    assert [int(r["pointid"]) for r in read_back(tmp_path / "one")] == list(range(1000))
-
-
-def test_single_file_is_refused_for_a_large_result(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("isoreach.sources.results.SINGLE_FILE_ROWS", 10)
-    with pytest.raises(ValueError, match="11 rows"):
-        write_csv(spark.range(11).toDF("pointid"), str(tmp_path / "one"), single_file=True)
 
 
 def test_infinite_scores_can_be_read_back(spark, tmp_path):
@@ -109,11 +100,31 @@ def test_run_from_files_to_csv(spark, stored, tmp_path):
 def test_command(spark, stored, tmp_path, capsys):
     where, out = f"{stored}/parquet", str(tmp_path / "out")
     arguments = ["--od", f"{where}/od", "--origins", f"{where}/origins", "--facilities", f"{where}/facilities"]
-    main([*arguments, "--output", out, "--methods", "2sfca", "--scale", "10", "--single-file"])
+    main([*arguments, "--output", out, "--methods", "2sfca", "--scale", "10", "--dedupe"])
     assert out in capsys.readouterr().out
     assert_result(read_back(out), {k: (10 * v[0],) for k, v in SCORES_A.items()})
 
 
+def test_command_with_other_names(spark, stored, tmp_path):
+    """Every field renamed, semicolons between them, and each route twice."""
+    renamed = {
+        "od": {"OriginID": "o", "Name": "n", "Total_time": "t"},
+        "origins": {"pointid": "p", "grid_code": "c", "OriginID_Point": "j"},
+        "facilities": {"OBJECTID": "f", "capacity": "k"},
+    }
+    arguments = ["--format", "csv", "--option", "sep=;", "--dedupe", "--output", str(tmp_path / "out")]
+    for table, names in renamed.items():
+        df = spark.read.parquet(f"{stored}/parquet/{table}")
+        df = df.union(df) if table == "od" else df
+        df.withColumnsRenamed(names).write.option("header", True).option("sep", ";").csv(str(tmp_path / table))
+        arguments += [f"--{table}", str(tmp_path / table)]
+    for field, name in zip("origin name time point population join-id facility capacity".split(), "ontpcjfk"):
+        arguments += [f"--{field}-field", name]
+    main(arguments)
+    rows = [{k if k.startswith("SPAI") else "pointid": v for k, v in r.items()} for r in read_back(tmp_path / "out")]
+    assert_result(rows, SCORES_A)
+
+
 def test_run_refuses_repeated_ids(spark, raw, stored, tmp_path):
     twice = str(tmp_path / "twice")
     raw["facilities"].union(raw["facilities"]).write.parquet(twice)
