@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.storage import written
+from isoreach.llm.word_features import slices
 
 #: Fixed value: how the pieces write a blank.
 BLANK = "▁"
@@ -35,6 +36,8 @@ CHUNK = 1 << 15
 
 _NEVER = -np.inf
 
+_BLANK_AFTER = re.compile(f"(?<=[^{BLANK}]){BLANK}")
+
 State = tuple[str, int]  # the piece that crosses an edge, and how many characters of it lie beyond
 
 
@@ -50,6 +53,11 @@ class Vocabulary:
     bpe: bool
     longest: int
 
+    @functools.cached_property
+    def parts_at_blanks(self) -> bool:
+        """Whether no piece has a blank after something else, so that words never share one."""
+        return not any(BLANK in piece.lstrip(BLANK) for piece in self.score)
+
     def merged(self, text: str) -> tuple[str, ...]:
         """What BPE makes of a short text: the best-scored neighbours are joined first, the leftmost of equals."""
         parts = list(text)
@@ -63,12 +71,12 @@ class Vocabulary:
     @functools.cached_property
     def alone(self):
         """Whether a piece stays whole when it is the only text."""
-        return functools.lru_cache(1 << 18)(lambda piece: not self.bpe or self.merged(piece) == (piece,))
+        return functools.lru_cache(1 << 15)(lambda piece: not self.bpe or self.merged(piece) == (piece,))
 
     @functools.cached_property
     def allowed(self):
         """Whether two pieces may stand side by side."""
-        return functools.lru_cache(1 << 20)(lambda a, b: not self.bpe or not a or self.merged(a + b) == (a, b))
+        return functools.lru_cache(1 << 16)(lambda a, b: not self.bpe or not a or self.merged(a + b) == (a, b))
 
     def weight(self, piece: str) -> float:
         if self.bpe:
@@ -193,12 +201,23 @@ class Chunk:
     first: bool
     last: bool
 
-    @functools.cached_property
-    def safe(self) -> tuple[int, int] | None:
-        """First and last place inside where a piece must begin whatever stands around it."""
-        spots = [m.start() for m in re.finditer(f"(?<=[A-Za-z]){BLANK}(?=[A-Za-z])", self.text[: self.end])]
-        spots = [s for s in spots if s >= self.begin + 32]
-        return (spots[0], spots[-1]) if len(spots) > 1 else None
+    def safe(self, vocab: Vocabulary) -> tuple[int, int] | None:
+        """First and last place inside where a piece must begin whatever stands around it.
+
+        That is where a blank follows something else, unless the vocabulary has pieces with such a place
+        inside. Pieces that reach in from the left end before the first.
+        """
+        if not vocab.parts_at_blanks:
+            return None
+        inside = self.text[: self.end]
+        first = _BLANK_AFTER.search(inside, min(self.begin + vocab.longest, self.end))
+        if first is None:
+            return None
+        last = len(inside)
+        while True:
+            last = inside.rindex(BLANK, 0, last)
+            if inside[last - 1] != BLANK:
+                return first.start(), last
 
     def states(self, vocab: Vocabulary) -> tuple[list[State], list[State]]:
         left = [("", 0)] if self.first else edge_states(vocab, self.text, self.begin)
@@ -207,11 +226,12 @@ class Chunk:
     def matrix(self, vocab: Vocabulary) -> np.ndarray:
         """Best weight of a path from each state of the left edge to each of the right one."""
         left, right = self.states(vocab)
-        if self.safe is None:
+        safe = self.safe(vocab)
+        if safe is None:
             nodes = _paths(vocab, self.text, self.begin, self.end, [(p, self.begin + n) for p, n in left])
             columns = [nodes[(p, self.end + n)][0] if (p, self.end + n) in nodes else np.full(len(left), _NEVER) for p, n in right]
             return np.stack(columns, 1)
-        a, b = self.safe
+        a, b = safe
         nodes = _paths(vocab, self.text, self.begin, a, [(p, self.begin + n) for p, n in left])
         into = np.max([w for (_, at), (w, _) in nodes.items() if at == a] or [np.full(len(left), _NEVER)], 0)
         nodes = _paths(vocab, self.text, b, self.end, [("", b)])
@@ -221,10 +241,11 @@ class Chunk:
     def pieces(self, vocab: Vocabulary, left: State, right: State) -> list[int]:
         """Ids of the pieces that begin here, between given states of both edges."""
         begin, end = (left[0], self.begin + left[1]), (right[0], self.end + right[1])
-        if self.safe is None:
+        safe = self.safe(vocab)
+        if safe is None:
             nodes = _paths(vocab, self.text, self.begin, self.end, [begin])
             return vocab.ids_of(_trace(nodes, 0, end) if end != begin else [])
-        a, b = self.safe
+        a, b = safe
         nodes = _paths(vocab, self.text, self.begin, a, [begin])
         best = max((n for n in nodes if n[1] == a), key=lambda n: nodes[n][0][0])
         ids = vocab.ids_of(_trace(nodes, 0, best) if best != begin else [])
@@ -298,8 +319,11 @@ def encode(
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for rows in batches:
-            ids = [vocab.model.encode(t.decode("utf-8", "replace")) for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+            texts = rows.column(1).to_pylist()
+            for span in slices([len(t) for t in texts], 1 << 20):
+                ids = [vocab.model.encode(t.decode("utf-8", "replace")) for t in texts[span]]
+                own = rows.column(0).slice(span.start, len(ids))
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
@@ -315,7 +339,7 @@ def encode(
 
     def matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for rows in batches:
+        for rows in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             for r in rows.to_pylist():
                 m = Chunk(r["text"], r["a"], r["b"], r["first"], r["last"]).matrix(vocab)
                 yield pa.RecordBatch.from_pylist(
@@ -330,7 +354,7 @@ def encode(
 
     def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for rows in batches:
+        for rows in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             out = []
             for r in rows.to_pylist():
                 c = Chunk(r["text"], r["a"], r["b"], r["first"], r["last"])
@@ -362,6 +386,6 @@ def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
         vocab = vocabulary(model)
-        return ids.map(lambda i: None if i is None else vocab.model.decode([int(x) for x in i]))
+        return ids.map(lambda i: None if i is None else vocab.model.decode(i.tolist()))
 
     return tokens.withColumn("text", decoded(ids_col))
