@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isoreach.llm.storage import written
 from isoreach.llm.word_features import slices
@@ -383,9 +384,11 @@ def encode(
 def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with one more column ``text``, that which the ids stand for; null ids give a null text."""
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        return ids.map(lambda i: None if i is None else vocab.model.decode(i.tolist()))
+        for rows in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            ids = rows.column(ids_col).to_pylist()
+            texts = pa.array([None if i is None else vocab.model.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "text"])
 
-    return tokens.withColumn("text", decoded(ids_col))
+    return tokens.mapInArrow(each, T.StructType([*tokens.schema.fields, T.StructField("text", T.StringType())]))
