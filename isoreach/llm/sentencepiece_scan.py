@@ -387,8 +387,11 @@ def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for rows in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            ids = rows.column(ids_col).to_pylist()
-            texts = pa.array([None if i is None else vocab.model.decode(i) for i in ids], pa.string())
+            ids = rows.column(ids_col)
+            values, there = ids.flatten().to_numpy().tolist(), ids.is_valid().to_pylist()
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+            spans = zip([0, *ends], ends, there, strict=False)
+            texts = pa.array([vocab.model.decode(values[a:b]) if ok else None for a, b, ok in spans], pa.string())
             yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "text"])
 
     return tokens.mapInArrow(each, T.StructType([*tokens.schema.fields, T.StructField("text", T.StringType())]))

@@ -62,6 +62,8 @@ def test_table(spark):
     assert got == sorted(((i, library.encode(t or "")) for i, t in rows), key=str)
     texts = sorted(((r.doc_id, r.text) for r in scan.decode(tokens, MODEL).collect()), key=str)
     assert texts == sorted(((i, t or "") for i, t in rows), key=str)
+    some = spark.createDataFrame([(1, None), (2, []), (3, library.encode("a b"))], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id, r.text) for r in scan.decode(some, MODEL).collect()) == [(1, None), (2, ""), (3, "a b")]
 
 
 def test_empty_table(spark):
