@@ -8,7 +8,8 @@ then sum per key", whatever the number of methods:
 3. per origin: the score of each method, from the facility's ratios.
 
 The share of a pair is its weight over the origin's total. In pass 3 that total is taken out of the
-sum, so the pass needs the facility's ratios but nothing of the origin. All sums have a map-side half,
+sum, so the pass needs the facility's ratios but nothing of the origin. Only where a decay is so narrow
+that its square is no longer a double are the totals attached to the pairs as well. All sums have a map-side half,
 hence no task ever holds all pairs of one origin or of one destination. With both small tables
 broadcast the pairs are not shuffled at all; see ``operators.lookup`` for tables beyond that size.
 """
@@ -23,12 +24,11 @@ from pyspark.sql import functions as F
 from ..config import METHODS, Columns, Layout, Params, checked_methods, measure_layout
 from ..functions import nan_safe_sum, positive_ratio, safe_ratio, weight
 from ..operators.catchment import within_catchment
-from ..operators.lookup import deal, sum_per_key
+from ..operators.lookup import Dealt, deal, sum_per_key
 from ..operators.tables import people_table, supply_table
-from .stepwise import accessibility_by_steps
 
 # Pass 3 multiplies two decays before it divides by the origin's total of decays. Up to this exponent
-# the product of two smallest weights, exp(-600), is an ordinary double.
+# the product of two smallest weights, exp(-600), is an ordinary double. Beyond it the pass divides first.
 _LARGEST_EXPONENT = 300.0
 
 # Stands for a missing destination; no facility has it as its key.
@@ -54,10 +54,7 @@ def accessibility(
     """
     methods = checked_methods(methods)
     layout = layout or measure_layout(origins, facilities)
-    if params.decay == "gaussian" and (params.d0 / params.decay_f) ** 2 > _LARGEST_EXPONENT:
-        return accessibility_by_steps(
-            od, origins, facilities, methods=methods, params=params, cols=cols, layout=layout, scale=scale
-        )
+    narrow = params.decay == "gaussian" and (params.d0 / params.decay_f) ** 2 > _LARGEST_EXPONENT
 
     o, d = cols.origin, cols.destination
     # A destination that cannot be null spares every pass a null filter that would parse the name again.
@@ -85,6 +82,13 @@ def accessibility(
             return lying.join(F.broadcast(lookup), d, how)
         return by_facility.attach(lookup, how).drop("_slice")
 
+    def with_totals(rows: DataFrame, lookup: DataFrame) -> DataFrame:
+        """Pairs dealt by origin are still where they were; pairs dealt by facility are dealt once more."""
+        if by_origin is None:
+            return rows.join(F.broadcast(lookup), o)
+        lying = Dealt(rows, by_origin.hot, o) if by_facility is None else deal(rows, o, d, layout.slice_rows)
+        return lying.attach(lookup, "inner")
+
     per_origin = people
     if "3sfca" in methods or "e3sfca" in methods:
         # An origin's total of decay counts every destination, its total of capacity times decay only
@@ -133,9 +137,15 @@ def accessibility(
         "3sfca": {"_s_3sfca": F.col("_r_3sfca") * F.col("_f") * F.col("_f")},
         "e3sfca": {"_s_e3sfca": F.col("_r_e3sfca") * F.col("_f") * F.col("_f")},
     }
-    scores = sum_per_key(with_facilities(per_facility, "inner"), o, _sums(score_sums, methods))
-
+    scored = with_facilities(per_facility, "inner")
     divisor = {"3sfca": "_total_f", "e3sfca": "_total_sf"}
+    if narrow and any(m in divisor for m in methods):
+        scored = with_totals(scored, per_origin)
+        score_sums |= {
+            m: {f"_s_{m}": _share("_f", total) * F.col(f"_r_{m}") * F.col("_f")} for m, total in divisor.items()
+        }
+        divisor = {}
+    scores = sum_per_key(scored, o, _sums(score_sums, methods))
 
     def final(method: str) -> Column:
         score = F.col(f"_s_{method}")

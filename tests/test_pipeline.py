@@ -69,6 +69,16 @@ def test_very_narrow_decay_keeps_far_shares(spark):
     assert got[101] == pytest.approx((0.1,) * 2 + (0.1 * math.exp(-400),) + (0.1,) * 2)
 
 
+@pytest.mark.parametrize(
+    "layout", [Layout(True, True), Layout(False, True), Layout(True, False), Layout(slice_rows=2)], ids=str
+)
+def test_narrow_decay_in_every_layout(spark, layout):
+    """The fused plan keeps its passes and says what the steps say, unknown origins and destinations included."""
+    tables_of_b, params = tables_b(spark), Params(decay_f=1.6)
+    got = scores(accessibility(*tables_of_b, params=params, layout=layout))
+    assert_scores(got, scores(accessibility_by_steps(*tables_of_b, params=params)))
+
+
 def test_unknown_columns_do_not_matter_and_ids_may_be_text(spark):
     od, origins, facilities = tables_a(spark)
     od = od.withColumn("OriginID", F.concat(F.lit("o"), "OriginID")).withColumn("extra", F.lit(1))
