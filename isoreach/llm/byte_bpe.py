@@ -1,8 +1,9 @@
 """Ids of byte-level BPE vocabularies, as the ``tokenizers`` library gives them.
 
 A ``tokenizers`` file whose merges are numbered in their own order says the same as a list of ranks,
-which ``tiktoken`` encodes several times faster; such files are encoded that way. Any other file goes
-to ``tokenizers`` itself, a ``.model`` file to ``sentencepiece``.
+which ``tiktoken`` encodes several times faster; such files are encoded that way, but for texts with
+endless white space. Those and any other file go to ``tokenizers`` itself, a ``.model`` file to
+``sentencepiece``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A lone space between two ASCII letters: the word before it ends and the next begins with it.
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
+#: White space of which the pattern's search would need too much stack; ``tokenizers`` has no such limit.
+_LONG_BLANK = re.compile(r"\s{200000}")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte: itself where printable, else one from U+0100 on."""
@@ -75,6 +79,8 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
+        if _LONG_BLANK.search(text):
+            return library.encode(text, add_special_tokens=False).ids
         if any(s in text for s in special):
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)

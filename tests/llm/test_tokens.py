@@ -42,6 +42,12 @@ def test_encoder_and_segments(text, size):
     assert [i for p in parts for i in encode(p)] == ids_of(text)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_100_000, "\u3000\n" * 600_000 + "b c", " " * 199_990 + "x"])
+def test_endless_white_space(text):
+    encode, _ = encoder(BPE)
+    assert [i for p in segments(text, 1000) for i in encode(p)] == ids_of(text)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(name):
     path = public_tokenizers.path(name)
