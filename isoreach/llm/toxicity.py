@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.labelled import remainder, training_rows
-from isoreach.llm.word_features import Words, slices, subwords
+from isoreach.llm.word_features import Words, cut_at_words, slices, subwords
 
 _CHUNK_BYTES = 1 << 20
 
@@ -51,19 +51,32 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        """Chance of label 1 of each text: that of its worst window; the bias alone for no words."""
-        p, scores = self.params, np.empty(len(texts))
+        """Chance of label 1 of each text: that of its worst window; the bias alone for no words.
+
+        Texts are taken together up to some bytes, and longer ones in parts of whole windows.
+        """
+        p, most = self.params, np.full(len(texts), -np.inf)
         for span in slices([len(t or b"") for t in texts], _CHUNK_BYTES):
-            words = Words.of(texts[span])
-            window, text = _windows(words, p.window)
-            own, cells = subwords(words, p.shortest, p.longest, p.buckets)
-            total = np.bincount(window[own], self.weight[cells], len(text))
-            mean = total / np.maximum(np.bincount(window[own], minlength=len(text)), 1)
-            most = np.full(words.n_texts, -np.inf)
-            np.maximum.at(most, text, mean)
-            scores[span] = np.where(np.isfinite(most), most, 0.0) + self.bias
+            whole = texts[span]
+            if len(whole) > 1:
+                np.maximum(most[span], self._worst(whole), out=most[span])
+                continue
+            for part in cut_at_words(whole[0] or b"", p.window, _CHUNK_BYTES):
+                np.maximum(most[span], self._worst([part]), out=most[span])
+        scores = np.where(np.isfinite(most), most, 0.0) + self.bias
         return 1 / (1 + np.exp(-np.clip(scores, -60, 60)))
 
+    def _worst(self, texts: list[bytes | None]) -> np.ndarray:
+        """The highest mean of a window in each text, minus infinity without words."""
+        p, words = self.params, Words.of(texts)
+        window, text = _windows(words, p.window)
+        own, cells = subwords(words, p.shortest, p.longest, p.buckets)
+        total = np.bincount(window[own], self.weight[cells], len(text))
+        mean = total / np.maximum(np.bincount(window[own], minlength=len(text)), 1)
+        worst = np.full(words.n_texts, -np.inf)
+        np.maximum.at(worst, text, mean)
+        return worst
+
 
 def train(rows: list[tuple[bytes, int]], params: ToxicityParams) -> ToxicityModel:
     """Fits vectors and softmax together by AdaGrad on batches of as many texts of either label.

@@ -8,6 +8,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,12 +70,24 @@ class Words:
 
 
 def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of spans by differences of prefix sums modulo 2**64."""
+    """Polynomial hashes of spans in order, by differences of prefix sums modulo 2**64.
+
+    A hash depends on the bytes of its span alone, so spans are taken a block at a time: what is held
+    besides follows the block, not the text.
+    """
+    found = np.empty(len(start), np.uint64)
+    edges = np.searchsorted(start, np.arange(0, len(raw) + _BLOCK, _BLOCK))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(raw) + 1, _BASE, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1])])
-        back = np.cumprod(np.full(len(raw) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
-        return mixed((sums[end] - sums[start]) * back[start])
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            low = start[a]
+            part = raw[low : end[b - 1]].astype(np.uint64) + np.uint64(1)
+            power = np.cumprod(np.full(len(part), _BASE, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power)])
+            back = np.cumprod(np.full(len(part), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
+            found[a:b] = mixed((sums[end[a:b] - low] - sums[start[a:b] - low]) * back[start[a:b] - low])
+    return found
 
 
 def subwords(words: Words, shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +115,17 @@ def subwords(words: Words, shortest: int, longest: int, buckets: int) -> tuple[n
     return own, cells
 
 
+def cut_at_words(text: bytes, words: int, most: int) -> list[bytes]:
+    """The text in parts of some ``most`` bytes, all but the last with a multiple of ``words`` words."""
+    if len(text) <= most:
+        return [text]
+    blank = _SPACE[np.frombuffer(text, np.uint8)]
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))[::words]
+    at = np.unique(np.searchsorted(start, np.arange(most, len(text), most)))
+    cuts = [0, *start[at[at < len(start)]].tolist(), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def slices(sizes: list[int], most: int) -> list[slice]:
     """Consecutive rows of some ``most`` bytes together; a longer row stands alone."""
     cuts, held = [0], 0

@@ -5,9 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from isoreach.llm import quality, toxicity
+from isoreach.llm import quality, toxicity, word_features
 from isoreach.llm.labelled import remainder, training_rows
-from isoreach.llm.word_features import Words, slices, subwords
+from isoreach.llm.word_features import Words, cut_at_words, slices, subwords
 
 SF = "/root/testdata/sf0.1"
 
@@ -49,6 +49,21 @@ def test_batches_do_not_matter(models):
         assert np.allclose(m.score(texts), [m.score([t])[0] for t in texts])
 
 
+def test_long_texts_in_parts(models, monkeypatch):
+    text = b"  a fine day you idiot, isn't it\n" * 300 + b"x" * 900 + b" end "
+    for words in (1, 3):
+        parts = cut_at_words(text, words, 500)
+        assert b"".join(parts) == text and len(parts) > 10
+        assert all(len(p.split()) % words == 0 for p in parts[:-1])
+    assert cut_at_words(b" " * 2000, 3, 500) == [b" " * 2000]
+    whole = [m.score([text, b"x"]).tolist() for m in models]
+    hashes = Words.of([text]).hashes().tolist()
+    monkeypatch.setattr(toxicity, "_CHUNK_BYTES", 500)
+    monkeypatch.setattr(word_features, "_BLOCK", 64)
+    assert [m.score([text, b"x"]).tolist() for m in models] == whole
+    assert Words.of([text]).hashes().tolist() == hashes
+
+
 def test_one_kind_of_label_only():
     for module, params in ((toxicity, toxicity.ToxicityParams()), (quality, quality.QualityParams())):
         for rows in ([], [(b"a b c", 1)], [(b"", 0)]):
