@@ -27,7 +27,8 @@ class PqParams:
 
     ``lists`` is the number of inverted lists, ``subspaces`` that of the codes per vector, ``centres``
     how many values a code has. ``sigmas`` says how far beyond a list's border its neighbours are looked
-    for, see ``Codebook.probes``; None probes every list that can hold one, at many times the cost.
+    for, see ``Codebook.probes``; None probes every list that can hold one. A number is cheaper and loses
+    links wherever near vectors differ in a few directions only.
     """
 
     lists: int = 256
@@ -35,7 +36,7 @@ class PqParams:
     centres: int = 64
     sample: int = 8192
     rounds: int = 8
-    sigmas: float | None = 3.0
+    sigmas: float | None = None
     seed: int = 3
 
 
@@ -67,21 +68,26 @@ class Codebook:
             out[:, i, : len(c)] = _squared(residual[:, a:b], c)
         return out
 
-    def probes(self, unit: np.ndarray, radius: float, sigmas: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that can hold a vector within ``radius`` of a row.
+    def probes(self, unit: np.ndarray, own: np.ndarray, radius: float, sigmas: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that a row of list ``own`` looks through for vectors within ``radius``.
 
         Such a vector lies in its list's cell, so the row is at most ``radius`` beyond the plane between
-        that cell and its own. It is so far only if the two differ in just that direction; in n
-        dimensions the usual distance along a given one is ``radius`` / sqrt(n), and ``sigmas`` times
-        that is what is probed.
+        that cell and its own: no list is missed, whatever the data. As this holds from either side, only
+        the rows of one of two lists look through the other: those of the lower one if the sum of
+        their numbers is even, else those of the higher one.
+
+        With ``sigmas``, only so many times ``radius`` / sqrt(n) beyond the plane is probed, which is the usual
+        distance along a given direction if pairs differ evenly in all n dimensions.
         """
         if sigmas is not None:
             radius = min(radius, sigmas * radius / np.sqrt(unit.shape[1]))
-        own, far = self.nearest(unit)
+        far, lists = _squared(unit, self.coarse), np.arange(len(self.coarse))
         apart = np.sqrt(np.maximum(_squared(self.coarse, self.coarse), 1e-12))[own]
         beyond = (far - far[np.arange(len(unit)), own][:, None]) / (2 * apart)
         beyond[np.arange(len(unit)), own] = 0
-        return np.nonzero(beyond <= radius + _SLACK)
+        turn = (lists[None, :] >= own[:, None]) == ((lists[None, :] + own[:, None]) % 2 == 0)
+        turn[np.arange(len(unit)), own] = True
+        return np.nonzero((beyond <= radius + _SLACK) & turn)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,6 +152,8 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
     off = np.sqrt(((ry - book.decoded(codes)) ** 2).sum(1))
     reach = (radius + off + _SLACK) ** 2
     nx, ny = query["node"].to_numpy(), index["node"].to_numpy()
+    # Rows of one list meet from both sides, those of two lists from one.
+    away = ~query["home"].to_numpy().astype(bool)
     dx, dy = query["dim"].to_numpy(), index["dim"].to_numpy()
     rows, cols = [], []
     for i in range(0, len(rx), 64):
@@ -153,7 +161,8 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
         far = np.zeros((len(table), len(codes)), np.float32)
         for m in range(codes.shape[1]):
             far += table[:, m, :][:, codes[:, m]]
-        a, b = np.nonzero((far <= reach) & (nx[i : i + 64, None] < ny) & (dx[i : i + 64, None] == dy))
+        once = away[i : i + 64, None] | (nx[i : i + 64, None] < ny)
+        a, b = np.nonzero((far <= reach) & once & (dx[i : i + 64, None] == dy))
         a += i
         for j in range(0, len(a), 1 << 16):
             c, d = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
@@ -176,9 +185,9 @@ def near_vectors(
     """(id, n_links, component_id, kept) of every row; rows with a cosine of at least ``cosine`` are linked.
 
     Equal vectors are one node that counts for all its rows. Nodes are put into the list of the nearest
-    coarse centre, with the codes of their residual there; each looks through the lists that may hold a
-    neighbour, block by block, sums table distances, and compares what is near enough in double
-    precision. Against brute force all links were found on tables of 10,000 and 50,000 vectors. Lists and queries of any size are cut into blocks and every two blocks meet in one
+    coarse centre, with the codes of their residual there; each looks through every list that may hold
+    a neighbour, block by block, sums table distances, and compares what is near enough in double
+    precision. Of two lists only one is looked through by the rows of the other. Lists and queries of any size are cut into blocks and every two blocks meet in one
     task, so a list that holds a third of all vectors is spread out. A task returns one count per
     vector and one chain per group, never its pairs.
 
@@ -223,16 +232,24 @@ def near_vectors(
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 unit = _directions(_matrix(part.column("v"), width)).astype(np.float32)
-                row, lists = book.value.probes(unit, radius, params.sigmas)
+                own = part.column("list").to_numpy()
+                row, lists = book.value.probes(unit, own, radius, params.sigmas)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists, pa.int32()), *(part.column(c).take(pa.array(row)) for c in ("node", "weight", "v"))],
-                    ["list", "node", "weight", "v"],
+                    [
+                        pa.array(lists, pa.int32()),
+                        *(part.column(c).take(pa.array(row)) for c in ("node", "weight", "v")),
+                        pa.array(own[row] == lists),
+                    ],
+                    ["list", "node", "weight", "v", "home"],
                 )
 
     base = classes.select("node", "weight", "v")
     kind = dict(base.dtypes)["v"]
     index = written(base.mapInArrow(indexed, f"list int, node long, weight long, v {kind}, codes binary"), "index")
-    probes = base.mapInArrow(probing, f"list int, node long, weight long, v {kind}")
+    # A row's list is decided once: it must be the same on both sides.
+    probes = index.select("list", "node", "weight", "v").mapInArrow(
+        probing, f"list int, node long, weight long, v {kind}, home boolean"
+    )
     # One row per list, of which there are at most ``params.lists``.
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("ni"))
     asked = written(probes.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("nq")), "asked")
@@ -240,7 +257,7 @@ def near_vectors(
     own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = index.join(grid, "list").select("list", own_block("ni").alias("i"), others("nq").alias("q"), "node", "weight", "v", "codes")
-    right = probes.join(grid, "list").select("list", others("ni").alias("i"), own_block("nq").alias("q"), "node", "weight", "v")
+    right = probes.join(grid, "list").select("list", others("ni").alias("i"), own_block("nq").alias("q"), "node", "weight", "v", "home")
 
     def compare(of_list: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"node": [], "other": [], "n": []}).astype("int64")

@@ -63,3 +63,16 @@ def test_null_ids_and_nothing_usable(spark):
     for rows in ([], [(1, None), (2, [0.0])]):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         assert sorted(map(tuple, near_vectors(df).collect())) == [(i, 0, i, True) for i, _ in rows]
+
+
+@pytest.mark.parametrize("rank", [4, 64])
+def test_hot_cluster_that_spreads_in_few_directions(spark, rank):
+    """A third of the rows around one centre; pairs of them differ in ``rank`` directions only."""
+    draw, width, n = np.random.default_rng(rank), 64, 3000
+    hot = draw.normal(size=width) + draw.normal(size=(n // 3, rank)) @ draw.normal(size=(rank, width)) * 0.25 / math.sqrt(rank)
+    rows = np.concatenate([hot, draw.normal(size=(n - n // 3, width))])
+    unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+    assert links.sum() > 1000 and [got[i] for i in range(n)] == links.tolist()
