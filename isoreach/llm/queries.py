@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isoreach.llm import (
     packing,
+    periodic_runs,
     pq_dedup,
     quality,
     sentencepiece_scan,
@@ -115,6 +116,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_texts(docs, model), 3, 1)
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``text`` of one document in ten, by a checksum of its id, repeats with a period from some word on."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10).cast("long"), F.col("_n")
+    a = F.pmod(F.col("_g"), n)
+    period = 1 + F.floor((n - a) / (3 + F.pmod(F.col("_g"), F.lit(8)))).cast("long")
+    chosen = docs.withColumn("_words", F.when(F.pmod(h, F.lit(10)) == 0, words)).withColumn("_n", F.size("_words").cast("long"))
+    placed = chosen.withColumn("_g", g).withColumn("_a", F.when(n > 0, a)).withColumn("_p", F.when(n > 0, period))
+    a, p = F.col("_a").cast("int"), F.col("_p").cast("int")
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), times)), F.lit(1), n.cast("int") - a)
+    planted = F.array_join(F.concat(F.slice("_words", F.lit(1), a), tail), " ")
+    return placed.select("doc_id", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of each document, the longest one, and the text without their repetitions."""
+    found = periodic_runs.periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents")))
+    # The smallest of (-length, start, period) is the longest run.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    rows = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-best.less * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -126,6 +162,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 # The checksum of a text, byte by byte: the table of remainders is built by the rule of CRC-32.
