@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoreach.llm import (
+    hard_negatives,
     packing,
     periodic_runs,
     pq_dedup,
@@ -16,6 +17,7 @@ from isoreach.llm import (
     simhash,
     streaming_dedup,
     token_count,
+    top_k,
     toxicity,
     warc,
 )
@@ -151,6 +153,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_scores(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256.0)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -163,6 +175,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_top_k": op12_top_k,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # The checksum of a text, byte by byte: the table of remainders is built by the rule of CRC-32.
@@ -174,6 +188,13 @@ crc_bits AS (
 ),
 crc AS (SELECT list(c ORDER BY n) AS rest FROM crc_bits WHERE step = 8)"""
 
+# Vectors of whole numbers; those with a component that is no number are out.
+_WHOLE = """
+whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
 ORACLE_SQL = {
     "op1_warc": """
         WITH p AS (
@@ -234,4 +255,34 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot,
                NULL::INTEGER AS grown_shard
         FROM p""",
+    "op12_top_k": f"""
+        WITH {_WHOLE},
+        scored AS (
+          SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_hard_negatives": f"""
+        WITH {_WHOLE},
+        rows_ AS (
+          SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+          FROM whole WHERE label IS NOT NULL
+        ),
+        scored AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+                 list_inner_product(a.e, b.e)::BIGINT AS score
+          FROM rows_ a JOIN rows_ b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        near AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+        FROM near JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
 }
