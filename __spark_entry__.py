@@ -7,6 +7,7 @@ is the smallest quantity ordered.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,15 @@ from isoreach import Layout, Params, accessibility, accessibility_by_steps, meas
 from isoreach import operators as ops
 from isoreach.config import METHODS
 from isoreach.functions import binary_weight, gaussian_weight, last_word, linear_weight
+from isoreach.operators.lookup import hot_keys
 from isoreach.sources import facility_table, od_table, origin_table
+from isoreach.storage import shared_folder
 
 try:
     import corpus_pipeline
     from isoreach.llm import queries as llm
-except ModuleNotFoundError as missing:
-    # The training-data operators can be taken out of the repository.
-    if missing.name not in ("corpus_pipeline", "isoreach.llm"):
-        raise
+except ImportError:
+    # The training-data operators can be taken out of the repository, and need packages that nothing else needs.
     corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +153,8 @@ def _decay(weight) -> Query:
 
 
 def selection_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = ops.selection_weights(ops.within_catchment(od(spark, sf_dir)))
+    od_df, origins_df, facilities_df = _study(spark, sf_dir)
+    chosen = ops.selection_weights(ops.within_catchment(od_df), layout=measure_layout(origins_df, facilities_df))
     return chosen.select("OriginID", "DestinationID", _round("Tij", 9), _round("Gij", 9))
 
 
@@ -251,6 +253,24 @@ def accessibility_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_scores(accessibility_by_steps(*_study(spark, sf_dir)))
 
 
+def accessibility_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two studies over routes stored in buckets by origin; the second asks for nearer facilities only."""
+    folder, table = shared_folder(spark, "study"), f"study_{uuid.uuid4().hex}"
+    routes_there = ops.store_by_origin(od(spark, sf_dir), table, buckets=16, d0=30.0, path=folder)
+    wide = accessibility(routes_there, origins(spark, sf_dir), facilities(spark, sf_dir))
+    near = accessibility(
+        routes_there, origins(spark, sf_dir), facilities(spark, sf_dir), methods=["e2sfca"], params=Params(d0=3.0)
+    ).withColumnRenamed("SPAI_e2sfca", "SPAI_near")
+    return _rounded_scores(wide.join(near, "pointid"))
+
+
+def hot_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with over 60 order lines, by the search for keys that are to be cut into slices."""
+    raw = order_lines(spark, sf_dir).select(F.col("o_custkey").alias("OriginID"))
+    hot = hot_keys(raw, "OriginID", 60)
+    return hot.join(raw, "OriginID").groupBy("OriginID").agg(F.count("*").alias("n_rows")).filter("n_rows > 60")
+
+
 def dedupe_od(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines repeat pairs of customer and supplier."""
     raw = order_lines(spark, sf_dir).select(
@@ -307,6 +327,9 @@ def queries() -> dict[str, Query]:
         "accessibility_stepwise": accessibility_stepwise,
         "accessibility_shuffled": _accessibility(layout=Layout()),
         "accessibility_sliced": _accessibility(layout=Layout(slice_rows=20)),
+        "accessibility_stored": _accessibility(store=True),
+        "accessibility_bucketed": accessibility_bucketed,
+        "hot_origins": hot_origins,
         "accessibility_gaps": _accessibility(facility_source=facilities_with_gaps),
         "accessibility_gaps_stepwise": accessibility_gaps_stepwise,
         "dedupe_od": dedupe_od,
@@ -515,6 +538,12 @@ def oracle_sql() -> dict[str, str]:
         "accessibility_stepwise": _all_scores(),
         "accessibility_shuffled": _all_scores(),
         "accessibility_sliced": _all_scores(),
+        "accessibility_stored": _all_scores(),
+        "accessibility_bucketed": f"""
+            SELECT a.*, b.SPAI_e2sfca AS SPAI_near
+            FROM ({_all_scores()}) a JOIN ({_all_scores(["e2sfca"], d0=3)}) b USING (pointid)""",
+        "hot_origins": f"""
+            SELECT o_custkey AS OriginID, count(*) AS n_rows FROM {_LINES} GROUP BY o_custkey HAVING count(*) > 60""",
         "accessibility_gaps": _all_scores(supply=_SUPPLY_GAPS),
         "accessibility_gaps_stepwise": _all_scores(supply=_SUPPLY_GAPS),
         "accessibility_no_demand": _all_scores(d0=5, people=_FEW_PEOPLE),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METHODS = ("2sfca", "e2sfca", "m2sfca", "3sfca", "e3sfca")
 
@@ -57,39 +59,59 @@ class Params:
             raise ValueError(f"zero_demand must be 'inf' or 'zero', got {self.zero_demand!r}")
 
 
+#: Bytes that a row of a lookup table takes in a broadcast, beside its text: a key, at most seven doubles and
+#: its place in the hash table. A text stands there as key and in the row.
+ROW_BYTES, TEXTS = 150, 2
+
+
 @dataclass(frozen=True)
 class Layout:
     """Which lookup tables were measured small enough to broadcast, and how finely to cut hot keys.
 
     A lookup that is not small is joined by a shuffle in which every key with more than
-    ``slice_rows`` pairs is spread over several tasks (see ``operators.lookup``). Up to
-    ``pairs / slice_rows`` such keys are broadcast, so that values far below the default suit small tables.
+    ``slice_rows`` pairs is spread over several tasks (see ``operators.lookup``). ``broadcast_bytes`` bounds what
+    operators measure themselves before they broadcast it.
     """
 
     small_origins: bool = False
     small_facilities: bool = False
     slice_rows: int = 50_000_000
+    broadcast_bytes: int = 256 << 20
 
     def __post_init__(self) -> None:
         if not self.slice_rows > 0:
             raise ValueError(f"slice_rows must be positive, got {self.slice_rows}")
+        if not self.broadcast_bytes >= 0:
+            raise ValueError(f"broadcast_bytes must not be negative, got {self.broadcast_bytes}")
+
+
+def lookup_bytes(table: DataFrame, key: str) -> int:
+    """Bytes that ``table``, of at most seven numbers beside ``key``, takes when it is broadcast.
+
+    Rows are counted, from file footers only for Parquet; the lengths of text keys are summed.
+    """
+    if not isinstance(table.select(key).schema[0].dataType, T.StringType):
+        return table.count() * ROW_BYTES
+    text = F.coalesce(F.sum(F.octet_length(key)), F.lit(0))
+    rows, letters = table.agg(F.count(F.lit(1)), text).first()
+    return rows * ROW_BYTES + letters * TEXTS
 
 
 def measure_layout(
     origins: DataFrame,
     facilities: DataFrame,
+    cols: Columns = Columns(),
     *,
-    broadcast_rows: int = 1_000_000,
+    broadcast_bytes: int = 256 << 20,
     slice_rows: int = 50_000_000,
 ) -> Layout:
-    """Count both tables (file footers only, for Parquet) and mark those of at most ``broadcast_rows``.
+    """Measures both tables and marks those that take at most ``broadcast_bytes`` in a broadcast.
 
-    A lookup row is a key and at most seven doubles, so a million rows are some 150 MB per executor.
+    That is some 1.8 million rows with ids that are numbers, fewer with ids that are long texts.
     """
-    if not broadcast_rows >= 0:
-        raise ValueError(f"broadcast_rows must not be negative, got {broadcast_rows}")
-    return Layout(
-        small_origins=origins.count() <= broadcast_rows,
-        small_facilities=facilities.count() <= broadcast_rows,
-        slice_rows=slice_rows,
+    bounds = Layout(slice_rows=slice_rows, broadcast_bytes=broadcast_bytes)
+    return replace(
+        bounds,
+        small_origins=lookup_bytes(origins, cols.join_id) <= broadcast_bytes,
+        small_facilities=lookup_bytes(facilities, cols.facility_key) <= broadcast_bytes,
     )

@@ -14,14 +14,17 @@ from .checks import null_keys, repeated_keys, validate_facilities, validate_od,
 from .choice import huff_probability, selection_weights
 from .lookup import lookup_join
 from .ratios import rij_m2sfca, rj_2sfca, rj_3sfca, rj_e2sfca, rj_e3sfca
+from .stored import StoredPairs, open_by_origin, store_by_origin, store_pairs
 
 __all__ = [
+    "StoredPairs",
     "complete_scores",
     "dedupe_od",
     "huff_probability",
     "lookup_join",
     "merge_scores",
     "null_keys",
+    "open_by_origin",
     "repeated_keys",
     "rij_m2sfca",
     "rj_2sfca",
@@ -34,6 +37,8 @@ __all__ = [
     "spai_e2sfca",
     "spai_e3sfca",
     "spai_m2sfca",
+    "store_by_origin",
+    "store_pairs",
     "validate_facilities",
     "validate_od",
     "validate_origins",

@@ -12,29 +12,40 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_SLICE = "_slice"
+SLICE = "_slice"
 _SLICES = "_slices"
 _BUCKET = "_bucket"
-_BUCKETS = 1 << 18
 _NULL_SLICES = 1024
 
+# Keys are dealt into buckets, each with a summary of its frequent keys. A summary tracks _TRACKED keys in a map
+# of _MAP places, and by the bound of frequent-items summaries is off by at most 3.5 / _MAP of its rows. It names
+# every key that has over twice that many.
+_BUCKETS, _TRACKED, _MAP = 16, 16384, 32768
+_SURE = 2 * 3.5 / _MAP
+
 
 def hot_keys(pairs: DataFrame, key: str, slice_rows: int) -> DataFrame:
-    """(``key``, ``_slices``) of the keys with more than ``slice_rows`` pairs, exactly.
+    """(``key``, ``_slices``) of the keys with more than ``slice_rows`` pairs, as a table of literals.
 
-    Counting every key could shuffle as many rows as there are pairs. Instead hash buckets are counted,
-    of which a task emits few, and then only the keys in buckets that are too full to rule one out.
-    Neither of the two tables broadcast has more than ``pairs / slice_rows`` rows.
+    One pass over the key column: mergeable summaries of frequent items, with a map-side half, and the
+    rows they stand for. A summary's count is never below the true one, so no hot key is missed, and a
+    key may be cut a little finer than need be. It cannot be sure of keys with less than a 4,681th of its rows;
+    ``slice_rows`` counts as that many where it is lower. So at most some 75,000 keys are hot, which
+    bounds every broadcast of them, and this job's result, whatever the pairs.
     """
-    keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(
-        F.col(key).isNotNull()
-    )
-    full = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
-    suspects = keys.join(F.broadcast(full.select(_BUCKET)), _BUCKET, "left_semi")
-    counts = suspects.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    slices = F.ceil(F.col("_n") / F.lit(float(slice_rows)))
-    return counts.filter(F.col("_n") > slice_rows).select(key, slices.alias(_SLICES))
+    if isinstance(pairs.select(key).schema[0].dataType, T.NullType):
+        return pairs.sparkSession.createDataFrame([], f"`{key}` string, {_SLICES} long")
+    keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(F.col(key).isNotNull())
+    frequent = F.expr(f"approx_top_k(`{key}`, {_TRACKED}, {_TRACKED})")
+    summaries = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_rows"), frequent.alias("_frequent"))
+    least = F.greatest(F.lit(float(slice_rows)), F.col("_rows") * F.lit(_SURE))
+    found = summaries.select(least.alias("_least"), F.explode("_frequent").alias("_f")).filter(F.col("_f.count") > F.col("_least"))
+    slices = F.ceil(F.col("_f.count") / F.col("_least")).cast("long")
+    hot = found.select(F.col("_f.item").alias(key), slices.alias(_SLICES))
+    # Collected, so that all uses deal alike: a summary that is made again may count differently.
+    return pairs.sparkSession.createDataFrame(hot.toArrow())
 
 
 @dataclass(frozen=True)
@@ -53,31 +64,34 @@ class Dealt:
         last = F.coalesce(F.col(_SLICES), F.lit(1).cast("long")) - 1
         repeated = (
             lookup.join(F.broadcast(self.hot), self.key, "left")
-            .withColumn(_SLICE, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .withColumn(SLICE, F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .drop(_SLICES)
         )
-        return self.pairs.join(repeated.hint("shuffle_hash"), [self.key, _SLICE], how)
+        return self.pairs.join(repeated.hint("shuffle_hash"), [self.key, SLICE], how)
 
 
-def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int) -> Dealt:
-    """Shuffles ``pairs`` by ``key``, with keys of more than ``slice_rows`` pairs cut into slices.
+def sliced(pairs: DataFrame, key: str, spread_by: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the slice of their key that each row belongs to.
 
     A hash of ``spread_by`` and all other columns picks the slice: it is a function of the row, so a task
     that is run again deals its pairs out alike, and a hot key is cut even where ``spread_by`` is the
     same throughout. Pairs without a key are spread too.
     """
-    hot = hot_keys(pairs, key, slice_rows)
     slices = F.coalesce(F.col(_SLICES), F.when(F.col(key).isNull(), F.lit(_NULL_SLICES)), F.lit(1))
     # Declared never null, lest a join on it puts a null filter below one use of the shuffle only.
     others = [c for c in pairs.columns if c not in (key, spread_by)]
     picked = F.coalesce(F.pmod(F.xxhash64(spread_by, *others), slices.cast("long")), F.lit(0).cast("long"))
-    dealt = (
-        pairs.join(F.broadcast(hot), key, "left")
-        .withColumn(_SLICE, picked)
-        .drop(_SLICES)
-        .repartition(key, _SLICE)
-    )
-    return Dealt(dealt, hot, key)
+    return pairs.join(F.broadcast(hot), key, "left").withColumn(SLICE, picked).drop(_SLICES)
+
+
+def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int, hot: DataFrame | None = None) -> Dealt:
+    """Shuffles ``pairs`` by ``key``, with keys of more than ``slice_rows`` pairs cut into slices.
+
+    Looks for such keys at once, in one pass over the key column, unless ``hot`` has them.
+    """
+    if hot is None:
+        hot = hot_keys(pairs, key, slice_rows)
+    return Dealt(sliced(pairs, key, spread_by, hot).repartition(key, SLICE), hot, key)
 
 
 def sum_per_key(rows: DataFrame, key: str, sums: Mapping[str, Column]) -> DataFrame:
@@ -85,9 +99,9 @@ def sum_per_key(rows: DataFrame, key: str, sums: Mapping[str, Column]) -> DataFr
 
     Rows that are dealt by this key are summed per slice where they lie, and only the slices' sums move.
     """
-    if _SLICE not in rows.columns:
+    if SLICE not in rows.columns:
         return rows.groupBy(key).agg(*[total.alias(name) for name, total in sums.items()])
-    per_slice = rows.groupBy(key, _SLICE).agg(*[total.alias(name) for name, total in sums.items()])
+    per_slice = rows.groupBy(key, SLICE).agg(*[total.alias(name) for name, total in sums.items()])
     return per_slice.groupBy(key).agg(*[F.sum(name).alias(name) for name in sums])
 
 
@@ -107,4 +121,4 @@ def lookup_join(
     """
     if small:
         return pairs.join(F.broadcast(lookup), key, how)
-    return deal(pairs, key, spread_by, slice_rows).attach(lookup, how).drop(_SLICE)
+    return deal(pairs, key, spread_by, slice_rows).attach(lookup, how).drop(SLICE)

@@ -8,10 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import SparkSession
 
 from ..config import METHODS, Columns, Params
-from ..operators import dedupe_od, validate_facilities, validate_od, validate_origins
+from ..operators import dedupe_od, store_pairs, validate_facilities, validate_od, validate_origins, within_catchment
 from ..sources import read_facilities, read_od, read_origins, write_csv
+from ..storage import can_store
 from .fused import accessibility
 
+#: Formats that are read again at the cost of a few columns; others are parsed once and stored.
+COLUMNAR = ("parquet", "orc", "table")
+
 
 def run(
     spark: SparkSession,
@@ -31,11 +35,17 @@ def run(
     dedupe: bool = False,
     options: Mapping[str, str] | None = None,
     mode: str = "errorifexists",
-) -> None:
+    store: bool | None = None,
+    count_pairs: bool = False,
+    infinity: str = "Infinity",
+) -> int | None:
     """Reads, checks the ids, computes and writes.
 
     ``check_pairs`` also looks for repeated routes, which shuffles the travel-time table once more;
     ``dedupe`` keeps the shortest of them instead. ``options`` are the reader's, for all three tables.
+    ``store`` says whether the routes within the threshold are stored between the passes; unless it is given
+    that is so after ``dedupe`` and for formats that are no columnar tables, where there is a shared folder
+    (``spark.checkpoint.dir``). With ``count_pairs`` their number is returned.
     """
     options = dict(options or {})
     od_df = read_od(spark, od, fmt, cols, destination_id_col=destination_id_col, id_type=id_type, options=options)
@@ -47,10 +57,16 @@ def run(
         od_df = dedupe_od(od_df, cols)
     elif check_pairs:
         validate_od(od_df, cols)
+    if store is None:
+        store = (dedupe or fmt not in COLUMNAR) and can_store(spark)
+    if store:
+        od_df = store_pairs(od_df, params, cols)
+    kept = within_catchment(od_df, params, cols).count() if count_pairs else None
     scores = accessibility(
         od_df, origins_df, facilities_df, methods=methods, params=params, cols=cols, scale=scale
     )
-    write_csv(scores, output, cols, mode=mode)
+    write_csv(scores, output, cols, mode=mode, infinity=infinity)
+    return kept
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -75,9 +91,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--dedupe", action="store_true", help="keep the shortest of repeated routes")
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="of the reader")
     parser.add_argument("--overwrite", action="store_true")
+    parser.add_argument("--store", action=argparse.BooleanOptionalAction, help="store the routes between passes")
+    parser.add_argument("--count-pairs", action="store_true", help="say how many routes are within d0")
+    parser.add_argument("--infinity", default="Infinity", help="text of infinite scores")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("isoreach").getOrCreate()
-    run(
+    kept = run(
         spark,
         args.od,
         args.origins,
@@ -94,5 +113,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         dedupe=args.dedupe,
         options=dict(option.split("=", 1) for option in args.option),
         mode="overwrite" if args.overwrite else "errorifexists",
+        store=args.store,
+        count_pairs=args.count_pairs,
+        infinity=args.infinity,
     )
+    if kept is not None:
+        print(f"{kept} routes within {args.d0} minutes")
     print(f"Accessibility scores written to {args.output}")

@@ -27,7 +27,7 @@ def accessibility_by_steps(
 ) -> DataFrame:
     """Same contract as ``accessibility``."""
     methods = checked_methods(methods)
-    layout = layout or measure_layout(origins, facilities)
+    layout = layout or measure_layout(origins, facilities, cols)
     common = dict(params=params, cols=cols, layout=layout)
     pairs = ops.within_catchment(od, params, cols)
     chosen = ops.selection_weights(pairs, **common)
