@@ -2,34 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..storage import shared_folder, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, removed when the driver's file systems close.
-
-    Where that setting and the context's checkpoint folder are both unset, as in local tests, a
-    temporary folder becomes the checkpoint folder.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="isoreach-"))
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored once and read back, so that later passes see the same rows whatever is lost."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]

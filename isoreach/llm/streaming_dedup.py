@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from isoreach.llm.locators import join_counted, located, place, split_by_filter, without_rows
 from isoreach.llm.storage import shared_folder, written
 
 #: Keys are kept on disk, and a partition of the state leaves its executor when its batch is done: what
@@ -21,15 +23,6 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """``docs`` whose rows can be found again by file and position; stored first if they can't."""
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "content")
-
-
 def streamed_groups(
     fingerprints: DataFrame, *, files_per_batch: int = 64, folder: str | None = None
 ) -> DataFrame:
@@ -46,8 +39,6 @@ def streamed_groups(
     source = folder or shared_folder(spark, "stream-source")
     fingerprints.write.mode("append").parquet(source)
     states, progress = shared_folder(spark, "stream-states"), shared_folder(spark, "stream-progress")
-    for name, value in STATE.items():
-        spark.conf.set(name, value)
 
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{states}/batch={batch}")
@@ -56,14 +47,21 @@ def streamed_groups(
     held = stream.groupBy("digest").agg(
         F.min(F.struct("id", "file", "row")).alias("keep"), F.count("*").alias("n")
     )
-    query = (
-        held.writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    try:
+        for name, value in STATE.items():
+            spark.conf.set(name, value)
+        query = (
+            held.writeStream.outputMode("update")
+            .foreachBatch(store)
+            .option("checkpointLocation", progress)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     kept = spark.read.schema(held.schema).option("recursiveFileLookup", "true").parquet(states)
     return kept.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("n").alias("n"))
 
@@ -74,58 +72,52 @@ def exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     files_per_batch: int = 64,
-    digest_chars: int = 64,
+    digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256),
 ) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, file, row) of every row.
 
     Rows are equal if their normalised texts are; the row with the smallest id stays, of several rows
     with that id the first by file and position, and a null id only where the group has no other. A null
-    text is an empty one.
+    text is an empty one; a text of any length is one value. Other columns are not read, whatever their names.
 
-    The stream sees SHA-256 digests, ids and locators only. Digests that were met more than once are
-    hits: the full texts of their rows are compared, and rows that share a digest but not the text
-    become groups of their own. ``digest_chars`` shortens the digest of the state, to test just that.
+    The stream sees digests, ids and locators only. Digests that were met more than once are hits: the
+    text at the locator of the row that stays is fetched, and each row of the hit is compared with it byte by
+    byte. Texts of other digests do not move. Where rows differ from it, the rows of that digest are
+    grouped by their whole texts, so that ``digest`` may send any texts to one value.
     """
-    located = _located(docs)
+    there = located(docs)
     text = normalised(text_col)
-    sha = F.sha2(text.cast("binary"), 256)
-    rows = located.select(
-        F.col(id_col).alias("id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-        F.substring(sha, 1, digest_chars).alias("digest"),
-        sha.alias("sha"),
-        text.alias("t"),
+    file, row = place(there)
+    rows = there.select(
+        F.col(id_col).alias("id"), file.alias("file"), row.alias("row"), digest(text.cast("binary")).alias("digest"), text.alias("t")
     )
-    named = written(rows.drop("t"), "digests")
+    named = written(rows.withColumn("sha", F.sha2(F.col("t").cast("binary"), 256)).drop("t"), "digests")
     # min() of a struct puts null ids first; they shall come last.
     ids = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id")).alias("id")
     groups = written(
         streamed_groups(named.select("digest", ids, "file", "row"), files_per_batch=files_per_batch), "groups"
     )
-    hits = groups.filter(F.col("n") > 1).select("digest")
-    # Grouping by the texts themselves compares all their bytes; one copy per task and text is moved.
-    proved = written(
-        rows.join(hits, "digest")
-        .groupBy("digest", "t")
-        .agg(F.min(F.struct(ids, "file", "row")).alias("keep"), F.count("*").alias("n"), F.min("sha").alias("sha"))
-        .drop("t"),
-        "proved",
-    )
-    several = proved.groupBy("digest").agg(F.count("*").alias("texts")).filter(F.col("texts") > 1)
-    # Where one digest has several texts, their own SHA-256 tells them apart.
-    split = proved.join(several, "digest").select("digest", "sha", F.col("keep").alias("own"), F.col("n").alias("own_n"))
-    found = named.join(groups, "digest")
-    if not several.isEmpty():
-        found = found.join(split, ["digest", "sha"], "left")
-    else:
-        found = found.withColumn("own", F.lit(None).cast(dict(groups.dtypes)["keep"])).withColumn("own_n", F.lit(None).cast("long"))
-    keep, n = F.coalesce("own", "keep"), F.coalesce("own_n", "n")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = groups.filter(F.col("n") > 1)
+    # Only the rows of hits are moved, next to the few others that pass the filter.
+    some, _ = split_by_filter(rows, met.select("digest"), "digest")
+    hits = join_counted(some.select("digest", ids, "file", "row", "t"), met, "digest", "n", total)
+    at_locator = (F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row"))
+    stored = hits.filter(at_locator).select("digest", "n", F.col("t").alias("content"))
+    compared = join_counted(hits.drop("n", "keep"), stored, "digest", "n", total)
+    unlike = written(compared.filter(F.col("t") != F.col("content")).select("digest").distinct(), "unlike")
+    found = join_counted(named, groups, "digest", "n", total).withColumn("own", F.col("keep")).withColumn("own_n", F.col("n"))
+    if not unlike.isEmpty():
+        apart = hits.drop("n", "keep").join(unlike, "digest")
+        texts = apart.groupBy("digest", "t").agg(F.min(F.struct("id", "file", "row")).alias("own"), F.count("*").alias("own_n"))
+        split = apart.join(texts, ["digest", "t"]).select("file", "row", "own", "own_n")
+        found = found.drop("own", "own_n").join(split, ["file", "row"], "left")
+        found = found.withColumn("own", F.coalesce("own", "keep")).withColumn("own_n", F.coalesce("own_n", "n"))
     return found.select(
         F.col("id").alias(id_col),
-        keep["id"]["id"].alias("keep_id"),
-        n.alias("group_size"),
-        ((keep["file"] == F.col("file")) & (keep["row"] == F.col("row"))).alias("kept"),
+        F.col("own.id.id").alias("keep_id"),
+        F.col("own_n").alias("group_size"),
+        ((F.col("own.file") == F.col("file")) & (F.col("own.row") == F.col("row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "file",
         "row",
@@ -134,9 +126,6 @@ def exact_duplicates(
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    located = _located(docs)
-    judged = exact_duplicates(located, id_col=id_col, text_col=text_col, **options)
-    gone = judged.filter(~F.col("kept")).select(F.col("file").alias("_gone_file"), F.col("row").alias("_gone_row"))
-    rows = located.withColumn("_at_file", F.col("_metadata.file_path")).withColumn("_at_row", F.col("_metadata.row_index"))
-    kept = rows.join(gone, (F.col("_at_file") == F.col("_gone_file")) & (F.col("_at_row") == F.col("_gone_row")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    there = located(docs)
+    judged = exact_duplicates(there, id_col=id_col, text_col=text_col, **options)
+    return without_rows(there, written(judged.filter(~F.col("kept")).select("file", "row"), "gone"))
