@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.components import connected_components, local_forest
+from isoreach.llm.locators import join_counted, located, place, without_rows
 from isoreach.llm.storage import written
 
 BITS = 64
@@ -301,3 +302,42 @@ def simhash_components(
     return named.join(labels, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    distance: int = 4,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: exactly one of each group of near copies.
+
+    Groups are those of ``simhash_components``, over fingerprints in place of ids, so rows with a null id belong
+    to them as well. The row with the smallest id stays, of several rows with that id the first by file and
+    position, and a null id only where the group has no other. A null text is an empty one. Columns
+    may have any names. Only ids, places and fingerprints are shuffled, and of the texts those that go.
+    """
+    there = located(docs)
+    file, row = place(there)
+    # The place travels in the struct that stands for the id.
+    at = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), file.alias("file"), row.alias("row"))
+    plain = there.select(at.alias("at"), F.col(text_col).alias("t"))
+    named = written(fingerprints(plain, id_col="at", text_col="t", words=words), "fingerprints")
+    fps = written(named.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+    nodes = fps.select("fp", F.col("fp").alias("node"))
+    rows, both = bit_counts(nodes)
+    group = fps.withColumn("group", F.col("fp"))
+    if rows > 1:
+        edges = near_links(nodes, distance, plan_parts(rows, both, distance), block)
+        found = connected_components(edges).select(F.col("node").alias("fp"), "component")
+        group = fps.join(found, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    keep = group.groupBy("group").agg(F.min("least").alias("keep"))
+    keep_of = written(group.join(keep, "group").select("fp", "n", "keep.file", "keep.row"), "stays")
+    total = keep_of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = named.select("fp", F.col("id.file").alias("at_file"), F.col("id.row").alias("at_row"))
+    judged = join_counted(placed, keep_of, "fp", "n", total)
+    gone = judged.filter((F.col("file") != F.col("at_file")) | (F.col("row") != F.col("at_row")))
+    return without_rows(there, written(gone.select(F.col("at_file").alias("file"), F.col("at_row").alias("row")), "gone"))
