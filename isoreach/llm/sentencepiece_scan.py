@@ -105,11 +105,63 @@ class Vocabulary:
         return out
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised protocol buffer message, in order."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            if byte < 0x80:
+                return value
+            shift += 7
+
+    while at < len(message):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            yield field, number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield field, message[at : at + size]
+        at += size
+
+
+def changes_texts(path: str) -> str | None:
+    """What a model does to a text before it looks for pieces, beside a blank before it and one for each space."""
+    rules: dict[int, int | bytes] = {}
+    suffix = 0
+    with open(path, "rb") as file:
+        # The fields of the format. 3 is the normaliser: 2 its table, 3 adds the first blank, 4 removes
+        # extra spaces, 5 writes spaces as blanks (all true unless given). 24 of the trainer (2) ends words in blanks.
+        for field, value in _fields(file.read()):
+            if field == 3:
+                rules |= dict(_fields(value))
+            elif field == 2:
+                suffix = dict(_fields(value)).get(24, suffix)
+    does = {
+        "maps characters": rules.get(2, b""),
+        "adds no blank before a text": not rules.get(3, 1),
+        "removes extra spaces": rules.get(4, 1),
+        "keeps spaces": not rules.get(5, 1),
+        "has blanks at the end of words": suffix,
+    }
+    return ", ".join(what for what, is_so in does.items() if is_so) or None
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a ``.model`` file. Scores of BPE models fall by 1 from piece to piece."""
+    """The vocabulary of a ``.model`` file. Scores of BPE models fall by 1 from piece to piece.
+
+    Chunks of a text are only right for models that look for pieces in the text as it is; others are refused.
+    """
     import sentencepiece
 
+    if change := changes_texts(path):
+        raise ValueError(f"{path} {change}; only models that take texts as they are can be scanned in chunks")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     many = range(model.get_piece_size())
     plain = [i for i in many if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -308,7 +360,8 @@ def encode(
     yield their matrices, which are small; the matrices of one text are multiplied in order in one
     task; and the chunks, now with known edges, are traced back wherever they lie. Only then are a
     text's ids joined up again. A null or empty text has no ids. Null ids and repeated rows are
-    rows like others; extra columns are not read. ``model`` is a path that every executor can open.
+    rows like others; extra columns are not read. ``model`` is a path that every executor can open; one
+    that normalises texts in any way is refused, whatever the texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -68,3 +68,23 @@ def test_table(spark):
 
 def test_empty_table(spark):
     assert scan.encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("rule", "what"),
+    [(b"\x1a\x02\x20\x01", "removes extra spaces"), (b"\x1a\x02\x18\x00", "adds no blank"), (b"\x1a\x03\x12\x01x", "maps characters"), (b"\x12\x03\xc0\x01\x01", "end of words")],
+)
+def test_models_that_change_texts_are_refused(tmp_path, rule, what):
+    """Fields that are repeated count by their last value, so a rule at the end of the file sets it."""
+    import public_tokenizers
+
+    from isoreach.llm import sentencepiece_scan as scan
+
+    public = public_tokenizers.path("piece_bpe_32k.model")
+    assert scan.changes_texts(public) is None
+    path = tmp_path / "other.model"
+    with open(public, "rb") as file:
+        path.write_bytes(file.read() + rule)
+    assert what in scan.changes_texts(str(path))
+    with pytest.raises(ValueError, match=what):
+        scan.vocabulary(str(path))
