@@ -72,7 +72,12 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
         spec = json.load(file)
     ranks = _as_ranks(spec)
     if ranks is None:
-        return lambda text: library.encode(text, add_special_tokens=False).ids, library.get_vocab_size()
+
+        def whole(text: str) -> list[int]:
+            return library.encode(text, add_special_tokens=False).ids
+
+        whole.library = library
+        return whole, library.get_vocab_size()
     import tiktoken
 
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -85,9 +90,33 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
 
+    encode.fast, encode.is_odd = fast, lambda text: bool(_LONG_BLANK.search(text)) or any(s in text for s in special)
     return encode, library.get_vocab_size()
 
 
+@functools.lru_cache(maxsize=4)
+def batch_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """A function from many texts to their ids, in one call of the library, on the calling thread."""
+    encode, _ = encoder(path)
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: pieces.encode(texts, num_threads=1)
+    fast = getattr(encode, "fast", None)
+    if fast is None:
+        library = encode.library
+        return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    def each(texts: list[str]) -> list[list[int]]:
+        # Few texts need more than the plain call.
+        odd = {i: encode(t) for i, t in enumerate(texts) if encode.is_odd(t)}
+        plain = iter(fast.encode_ordinary_batch([t for i, t in enumerate(texts) if i not in odd], num_threads=1))
+        return [odd[i] if i in odd else next(plain) for i in range(len(texts))]
+
+    return each
+
+
 def segments(text: str, size: int) -> list[str]:
     """Cuts a long text so that the ids of the parts, joined, are those of the whole.
 

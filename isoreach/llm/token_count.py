@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isoreach.llm.byte_bpe import encoder, segments
+from isoreach.llm.byte_bpe import batch_encoder, segments
 
 #: Bytes of text that are encoded together, and characters of a text from which on it is cut first.
 BATCH_BYTES = 1 << 20
@@ -16,15 +16,19 @@ SEGMENT_CHARS = 1 << 18
 
 
 def balanced(texts: Iterable[str], batch_bytes: int, segment_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """(number of the text, part of it) in batches of some ``batch_bytes``, long texts cut at safe places."""
-    batch, size = [], 0
+    """(number of the text, part of it) in batches of at most ``batch_bytes`` in UTF-8, or of one part.
+
+    Long texts are cut at safe places.
+    """
+    batch, held = [], 0
     for number, text in enumerate(texts):
         for part in segments(text, segment_chars):
-            if batch and size + len(part) > batch_bytes:
+            size = len(part) if part.isascii() else len(part.encode())
+            if batch and held + size > batch_bytes:
                 yield batch
-                batch, size = [], 0
+                batch, held = [], 0
             batch.append((number, part))
-            size += len(part)
+            held += size
     if batch:
         yield batch
 
@@ -49,13 +53,13 @@ def count_tokens(
     cuts = segment_chars if not tokenizer.endswith(".model") else 1 << 62
 
     def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = encoder(tokenizer)
+        encode = batch_encoder(tokenizer)
         for rows in batches:
             texts = rows.column(1).to_pylist()
             counts = [0] * len(texts)
             for batch in balanced((t.decode("utf-8", "replace") for t in texts), batch_bytes, cuts):
-                for number, part in batch:
-                    counts[number] += len(encode(part))
+                for (number, _), ids in zip(batch, encode([part for _, part in batch]), strict=True):
+                    counts[number] += len(ids)
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],

@@ -101,3 +101,31 @@ def test_packing(spark, partitions):
 
 def test_packing_nothing(spark):
     assert pack(_docs(spark, []), BPE).count() == 0
+
+
+def test_counts_come_from_batch_calls(monkeypatch):
+    """Each batch is one call, of at most so many bytes unless a single part is longer; no text is encoded alone."""
+    from isoreach.llm import byte_bpe, token_count
+
+    texts = ["Größe " * n for n in (1, 5, 40, 300, 2)] + ["", "a b " * 2000]
+    batches = list(token_count.balanced(texts, 400, 500))
+    sizes = [sum(len(part.encode()) for _, part in b) for b in batches]
+    assert all(size <= 400 or len(b) == 1 for size, b in zip(sizes, batches, strict=True)) and 3 < len(batches)
+    assert ["".join(part for b in batches for n, part in b if n == i) for i in range(len(texts))] == texts
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, _ = byte_bpe.encoder(path)
+    kind, calls = type(encode.fast), []
+    real = kind.encode_ordinary_batch
+    monkeypatch.setattr(kind, "encode_ordinary_batch", lambda self, t, **k: calls.append(list(t)) or real(self, t, **k))
+    ids = [byte_bpe.batch_encoder(path)([part for _, part in b]) for b in batches]
+    assert calls == [[part for _, part in b] for b in batches]
+    assert [[len(x) for x in some] for some in ids] == [[len(encode(part)) for _, part in b] for b in batches]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_batches_equal_single_texts(name):
+    from isoreach.llm import byte_bpe
+
+    encode, _ = encoder(public_tokenizers.path(name))
+    texts = ["hello world", "", "<|endoftext|> x", " " * 250_000 + "a", "naïve café", "x<|endoftext|>"]
+    assert byte_bpe.batch_encoder(public_tokenizers.path(name))(texts) == [encode(t) for t in texts]
