@@ -22,24 +22,34 @@ def training_rows(
     rows: int,
     per_class: bool,
     max_bytes: int,
+    total_bytes: int = 32 << 20,
 ) -> list[tuple[bytes, int]]:
     """(text, label) of at most ``rows`` labelled documents, or that many of each label.
 
     The ids with the smallest hashes are taken, so the choice neither follows the order of the rows
-    nor changes when a task is repeated. Texts of over ``max_bytes`` are left out of the sample. Ids
-    without a label or with two different ones teach nothing; of an id's several texts the smallest counts.
+    nor changes when a task is repeated. Texts of over ``max_bytes`` are left out of the sample, and where the
+    texts taken would have more than ``total_bytes``, the last ones are (of each label alike). Ids without a label or with two different ones teach nothing; of an id's several texts the smallest counts.
     """
     told = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(may_learn)
     sure = told.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
     sure = sure.filter(F.col("y") == F.col("z")).select("id", F.col("y").cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sizes = texts.select("id", F.length("t").alias("n")).filter(F.col("n") <= max_bytes)
-    there = sure.join(sizes, "id", "left_semi").withColumn("h", F.xxhash64("id"))
-    groups = [there.filter(F.col("y") == y) for y in (0, 1)] if per_class else [there]
-    chosen = groups[0].orderBy("h", "id").limit(rows)
-    for group in groups[1:]:
-        chosen = chosen.unionByName(group.orderBy("h", "id").limit(rows))
+    # Of an id's several texts the longest counts, so that the bound holds.
+    sizes = sizes.join(sure, "id").groupBy("id", "y").agg(F.max("n").alias("n")).withColumn("h", F.xxhash64("id"))
+    groups = [sizes.filter(F.col("y") == y) for y in (0, 1)] if per_class else [sizes]
+    chosen = []
+    for group in groups:
+        room = total_bytes // len(groups)
+        for r in group.orderBy("h", "id").limit(rows).select("id", "y", "n").collect():
+            if r.n > room:
+                break
+            room -= r.n
+            chosen.append((r.id, r.y))
+    if not chosen:
+        return []
+    chosen = docs.sparkSession.createDataFrame(chosen, f"id {dict(sure.dtypes)['id']}, y int")
     # At most twice ``rows`` ids, whatever the size of the corpus.
-    picked = texts.filter(F.length("t") <= max_bytes).join(F.broadcast(chosen.select("id", "y")), "id")
+    picked = texts.filter(F.length("t") <= max_bytes).join(F.broadcast(chosen), "id")
     found = picked.groupBy("id", "y").agg(F.min("t").alias("t")).collect()
     return [(bytes(r.t), r.y) for r in sorted(found, key=lambda r: r.id)]

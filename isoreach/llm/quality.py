@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,16 +15,18 @@ from isoreach.llm.labelled import remainder, training_rows
 from isoreach.llm.word_features import Words, bucket, slices
 
 _CHUNK_BYTES = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SALT = [np.uint64(0x5851F42D4C957F2D + 2 * i) for i in range(16)]
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``rows`` and ``max_bytes`` bound the sample that is learned from, not what is scored."""
+    """``rows``, ``max_bytes`` of a text and ``total_bytes`` bound the sample that is learned from, not what is scored."""
 
     buckets: int = 1 << 18
     rows: int = 8192
     max_bytes: int = 1 << 16
+    total_bytes: int = 32 << 20
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -81,6 +84,82 @@ def features(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np.nd
     return known // buckets, (known % buckets).astype(np.int32), value
 
 
+class _Seen:
+    """Hashes met so far, in sorted runs of doubling length."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), bool)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run, keys), len(run) - 1)
+            found |= run[at] == keys
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        if len(keys):
+            self.runs.append(np.unique(keys))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            last = self.runs.pop()
+            self.runs[-1] = np.union1d(self.runs[-1], last)
+
+
+def long_features(text: bytes, buckets: int, block: int = _CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, value) of one text, as ``features`` has them, some ``block`` bytes at a time.
+
+    What is held between blocks is a count per bucket, the last words, and the hashes of the distinct n-grams.
+    """
+    counts, many, at = np.zeros(buckets), 0, 0
+    word = shape = np.zeros(0, np.uint64)
+    recent = {n: word for n in (1, 2, 3)}
+    seen = {n: _Seen() for n in (2, 3)}
+
+    def add(kind: int, key: np.ndarray) -> None:
+        counts[:] += np.bincount(bucket(key ^ _SALT[kind], buckets), minlength=buckets)
+
+    while at < len(text):
+        cut = _BLANK.search(text, at + block)
+        part, at = text[at : cut.start() if cut else len(text)], cut.start() if cut else len(text)
+        words = Words.of([part])
+        carried = len(word)
+        many += len(words.start)
+        word, shape = np.concatenate([word, words.hashes()]), np.concatenate([shape, words.shapes()])
+        with np.errstate(over="ignore"):
+            w, s = word, shape
+            for n in (1, 2, 3):
+                if n > 1:
+                    w, s = w[:-1] * _SALT[n] + word[n - 1 :], s[:-1] * _SALT[n] + shape[n - 1 :]
+                # Those that end in this block.
+                first = max(carried - n + 1, 0)
+                own = w[first:]
+                if n < 3:
+                    add(n, own)
+                add(n + 3, s[first:])
+                both = np.concatenate([recent[n], own])
+                order = np.argsort(both, kind="stable")
+                again = np.flatnonzero(both[order][1:] == both[order][:-1])
+                gap, place = order[again + 1] - order[again], order[again + 1]
+                gap, place = gap[place >= len(recent[n])], place[place >= len(recent[n])]
+                near = np.minimum(gap, 4).astype(np.uint64)
+                if n > 1:
+                    new = np.ones(len(both), bool)
+                    new[: len(recent[n])] = False
+                    new[place] = False
+                    later = int(seen[n].holds(both[new]).sum())
+                    add(n + 6, np.concatenate([near, np.full(later, 4, np.uint64)]))
+                    seen[n].add(both[new])
+                else:
+                    add(n + 6, near[gap <= 2])
+                recent[n] = both[-3:]
+        word, shape = word[-2:], shape[-2:]
+    size = np.log2(np.array([many + 1])).astype(np.uint64)
+    counts /= max(many, 1)
+    counts[bucket(size ^ _SALT[12], buckets)] += 0.2
+    cells = np.flatnonzero(counts)
+    return cells, np.sqrt(counts[cells])
+
+
 @dataclass
 class QualityModel:
     params: QualityParams
@@ -91,6 +170,10 @@ class QualityModel:
         """Chance of label 1 of each text, a sparse dot product; a text without words has its length alone."""
         scores = np.empty(len(texts))
         for span in slices([len(t or b"") for t in texts], _CHUNK_BYTES):
+            if len(texts[span.start] or b"") > _CHUNK_BYTES:
+                cell, value = long_features(texts[span.start], self.params.buckets)
+                scores[span] = self.weight[cell] @ value + self.bias
+                continue
             text, cell, value = features(texts[span], self.params.buckets)
             many = len(range(*span.indices(len(texts))))
             scores[span] = np.bincount(text, self.weight[cell] * value, many) + self.bias
@@ -139,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         rows=params.rows,
         per_class=False,
         max_bytes=params.max_bytes,
+        total_bytes=params.total_bytes,
     )
     return train(rows, params)
 
@@ -146,7 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
 def score_texts(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row's whole text, in one pass; the model is a table of fixed size.
 
-    A null text is an empty one. Null ids, repeated rows and other columns play no part.
+    A null text is an empty one. Null ids, repeated rows and other columns play no part. A text of any length
+    is taken a megabyte at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

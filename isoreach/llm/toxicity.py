@@ -27,6 +27,7 @@ class ToxicityParams:
     window: int = 3
     rows: int = 4096
     max_bytes: int = 1 << 15
+    total_bytes: int = 48 << 20
     steps: int = 700
     batch: int = 24
     rate: float = 1.0
@@ -145,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         rows=params.rows,
         per_class=True,
         max_bytes=params.max_bytes,
+        total_bytes=params.total_bytes,
     )
     return train(rows, params)
 
