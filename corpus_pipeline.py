@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoreach.llm import near_copies, packing, quality, streaming_dedup, toxicity
+from isoreach.llm import packing, quality, simhash, streaming_dedup, toxicity
 from isoreach.llm.queries import BYTE_BPE
 from isoreach.llm.storage import shared_folder
 
@@ -45,8 +45,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word shingles at a similarity of 0.8 or more one row stays."""
-    return near_copies.drop_near_copies(docs, words=5, similarity=0.8).select(*COLUMNS)
+    """Of each group of texts whose fingerprints of four-word shingles differ at four bits or fewer one row stays."""
+    return simhash.drop_near_copies(docs, words=4, distance=4).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
