@@ -101,7 +101,7 @@ def exact_duplicates(
     met = groups.filter(F.col("n") > 1)
     # Only the rows of hits are moved, next to the few others that pass the filter.
     some, _ = split_by_filter(rows, met.select("digest"), "digest")
-    hits = join_counted(some.select("digest", ids, "file", "row", "t"), met, "digest", "n", total)
+    hits = written(join_counted(some.select("digest", ids, "file", "row", "t"), met, "digest", "n", total), "hits")
     at_locator = (F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row"))
     stored = hits.filter(at_locator).select("digest", "n", F.col("t").alias("content"))
     compared = join_counted(hits.drop("n", "keep"), stored, "digest", "n", total)
