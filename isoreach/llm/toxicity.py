@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from isoreach.llm.labelled import remainder, training_rows
 from isoreach.llm.word_features import Words, cut_at_words, slices, subwords
 
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
