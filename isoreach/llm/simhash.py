@@ -334,8 +334,9 @@ def drop_near_copies(
         edges = near_links(nodes, distance, plan_parts(rows, both, distance), block)
         found = connected_components(edges).select(F.col("node").alias("fp"), "component")
         group = fps.join(found, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    keep = group.groupBy("group").agg(F.min("least").alias("keep"))
-    keep_of = written(group.join(keep, "group").select("fp", "n", "keep.file", "keep.row"), "stays")
+    keep = group.groupBy("group").agg(F.min("least").alias("keep"), F.count("*").alias("members"))
+    keep_of = join_counted(group.select("group", "fp", "n"), keep, "group", "members", rows)
+    keep_of = written(keep_of.select("fp", "n", "keep.file", "keep.row"), "stays")
     total = keep_of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     placed = named.select("fp", F.col("id.file").alias("at_file"), F.col("id.row").alias("at_row"))
     judged = join_counted(placed, keep_of, "fp", "n", total)
