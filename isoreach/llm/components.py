@@ -6,22 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.llm.locators import join_counted
 from isoreach.llm.storage import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node among it and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
-    moved = both.filter(F.col("b") > F.col("a")).join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = least.select("a", F.least("a", "m").alias("m"), "n")
+    moved = join_counted(both.filter(F.col("b") > F.col("a")), least, "a", "n", 2 * many)
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them. Edges run from large to small."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(edges, least, "a", "n", many).filter(F.col("b") != F.col("m"))
     return (
         moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
         .unionByName(least.select("a", F.col("m").alias("b")))
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``component`` is the smallest node that can be reached. Loops and edges with a null end count for
     nothing, repeated edges once. A round costs two joins and is stored in the shared folder; the
-    number of rounds grows with the logarithm of the longest path. Nodes without an edge are not returned.
+    number of rounds grows with the logarithm of the longest path. The edges of a node with more than a task's
+    share of them are dealt to several tasks. Nodes without an edge are not returned.
     """
     first, second = edges.columns
     pairs = edges.select(F.col(first).alias("x"), F.col(second).alias("y")).filter(F.col("x") != F.col("y"))
@@ -48,7 +50,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         before = state
-        now = written(_small_star(_large_star(now)), "edges")
+        # Of the first step's edges there are no more than of the given ones.
+        now = written(_small_star(_large_star(now, state[0]), state[0]), "edges")
 
 
 def local_forest(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
