@@ -7,9 +7,10 @@ such keys into slices, and every shuffle is by key and slice.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +36,33 @@ def hot_keys(pairs: DataFrame, key: str, slice_rows: int) -> DataFrame:
     ``slice_rows`` counts as that many where it is lower. So at most some 75,000 keys are hot, which
     bounds every broadcast of them, and this job's result, whatever the pairs.
     """
-    if isinstance(pairs.select(key).schema[0].dataType, T.NullType):
-        return pairs.sparkSession.createDataFrame([], f"`{key}` string, {_SLICES} long")
-    keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(F.col(key).isNotNull())
-    frequent = F.expr(f"approx_top_k(`{key}`, {_TRACKED}, {_TRACKED})")
-    summaries = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_rows"), frequent.alias("_frequent"))
-    least = F.greatest(F.lit(float(slice_rows)), F.col("_rows") * F.lit(_SURE))
-    found = summaries.select(least.alias("_least"), F.explode("_frequent").alias("_f")).filter(F.col("_f.count") > F.col("_least"))
-    slices = F.ceil(F.col("_f.count") / F.col("_least")).cast("long")
-    hot = found.select(F.col("_f.item").alias(key), slices.alias(_SLICES))
+    return hot_keys_together([(pairs, key)], slice_rows)[0]
+
+
+def hot_keys_together(searches: Sequence[tuple[DataFrame, str]], slice_rows: int) -> list[DataFrame]:
+    """``hot_keys`` of several tables or columns, found in one job that shares what they have in common."""
+    spark, kinds, found = searches[0][0].sparkSession, [], None
+    for number, (pairs, key) in enumerate(searches):
+        kinds.append(pairs.select(key).schema[0].dataType)
+        if isinstance(kinds[-1], T.NullType):
+            kinds[-1] = T.StringType()
+            continue
+        keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(F.col(key).isNotNull())
+        frequent = F.expr(f"approx_top_k(`{key}`, {_TRACKED}, {_TRACKED})")
+        summaries = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_rows"), frequent.alias("_frequent"))
+        least = F.greatest(F.lit(float(slice_rows)), F.col("_rows") * F.lit(_SURE))
+        counted = summaries.select(least.alias("_least"), F.explode("_frequent").alias("_f")).filter(F.col("_f.count") > F.col("_least"))
+        slices = F.ceil(F.col("_f.count") / F.col("_least")).cast("long")
+        hot = counted.select(F.lit(number).alias("_of"), F.col("_f.item").cast("string").alias("_item"), slices.alias(_SLICES))
+        found = hot if found is None else found.unionByName(hot)
     # Collected, so that all uses deal alike: a summary that is made again may count differently.
-    return pairs.sparkSession.createDataFrame(hot.toArrow())
+    rows = found.collect() if found is not None else []
+    out = []
+    for number, ((_, key), kind) in enumerate(zip(searches, kinds, strict=True)):
+        own = [r for r in rows if r._of == number]
+        table = pa.table({"_item": pa.array([r._item for r in own], pa.string()), _SLICES: pa.array([r[_SLICES] for r in own], pa.int64())})
+        out.append(spark.createDataFrame(table).select(F.col("_item").cast(kind).alias(key), _SLICES))
+    return out
 
 
 @dataclass(frozen=True)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..config import METHODS, Columns, Layout, Params, checked_methods, measure_layout
 from ..functions import nan_safe_sum, positive_ratio, safe_ratio, weight
 from ..operators.catchment import within_catchment
-from ..operators.lookup import SLICE, Dealt, deal, hot_keys, sum_per_key
+from ..operators.lookup import SLICE, Dealt, deal, hot_keys_together, sum_per_key
 from ..operators.stored import StoredPairs, store_pairs
 from ..operators.tables import people_table, supply_table
 
@@ -84,17 +84,20 @@ def accessibility(
 
     # A table too large to broadcast: deal the pairs out by its key once, for all passes.
     named = pairs.filter(F.col(d) != _NO_DESTINATION).drop(SLICE)
-    by_facility = None if layout.small_facilities else deal(named, d, o, layout.slice_rows)
+    searches = [] if layout.small_facilities else [(named, d)]
+    if bucketed is None and not layout.small_origins:
+        searches.append((pairs, o))
+    hot = dict(zip([key for _, key in searches], hot_keys_together(searches, layout.slice_rows), strict=True)) if searches else {}
+    by_facility = None if layout.small_facilities else deal(named, d, o, layout.slice_rows, hot[d])
     by_origin, carried = None, False
     if bucketed is not None:
         by_origin = Dealt(pairs, bucketed.hot, o)
     elif not layout.small_origins:
-        hot = hot_keys(pairs, o, layout.slice_rows)
         carried = by_facility is not None and "e3sfca" in methods
         # Routes to nowhere, perhaps many of one origin, have no capacity to get.
         nowhere = pairs.filter(F.col(d) == _NO_DESTINATION).withColumn("_supply", F.lit(None).cast("double"))
         whole = by_facility.attach(known, "left").drop(SLICE).unionByName(nowhere) if carried else pairs
-        by_origin = deal(whole, o, d, layout.slice_rows, hot)
+        by_origin = deal(whole, o, d, layout.slice_rows, hot[o])
 
     def with_origins(lookup: DataFrame) -> DataFrame:
         if layout.small_origins:
