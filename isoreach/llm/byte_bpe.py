@@ -55,6 +55,17 @@ def _as_ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
 
+@functools.lru_cache(maxsize=2)
+def _library(path: str):
+    """The file in ``tokenizers``, whose tables take far more memory than ranks: loaded where it is needed."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
     """A function from a text to its ids, without added begin or end, and the number of ids."""
@@ -63,21 +74,16 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=path)
         return pieces.encode, pieces.get_piece_size()
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     ranks = _as_ranks(spec)
     if ranks is None:
 
         def whole(text: str) -> list[int]:
-            return library.encode(text, add_special_tokens=False).ids
+            return _library(path).encode(text, add_special_tokens=False).ids
 
-        whole.library = library
-        return whole, library.get_vocab_size()
+        whole.library = _library(path)
+        return whole, whole.library.get_vocab_size()
     import tiktoken
 
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -85,13 +91,13 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
 
     def encode(text: str) -> list[int]:
         if _LONG_BLANK.search(text):
-            return library.encode(text, add_special_tokens=False).ids
+            return _library(path).encode(text, add_special_tokens=False).ids
         if any(s in text for s in special):
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
 
     encode.fast, encode.is_odd = fast, lambda text: bool(_LONG_BLANK.search(text)) or any(s in text for s in special)
-    return encode, library.get_vocab_size()
+    return encode, len({*spec["model"]["vocab"], *special})
 
 
 @functools.lru_cache(maxsize=4)
