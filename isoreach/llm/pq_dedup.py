@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +26,28 @@ _SLACK = 1e-3
 class PqParams:
     """``sample`` bounds the vectors that centres and codebooks are fitted on; every vector is indexed.
 
-    ``lists`` is the number of inverted lists, ``subspaces`` that of the codes per vector, ``centres``
-    how many values a code has. ``sigmas`` says how far beyond a list's border its neighbours are looked
-    for, see ``Codebook.probes``; None probes every list that can hold one. A number is cheaper and loses
-    links wherever near vectors differ in a few directions only.
+    ``lists`` is the number of inverted lists, by default twice the root of the number of vectors and 2048 at
+    most, ``subspaces`` that of the codes per vector, ``centres`` how many values a code has.
+
+    How far beyond a list's border its neighbours are looked for is measured: at most ``trials`` vectors,
+    as many from every list, are compared with all vectors, and ``margin`` times the longest way that a
+    link of theirs needed is taken. Where fewer than ``proven`` of them have a link, and with ``margin=None``,
+    every list that can hold a neighbour is probed, and no link is lost whatever the data.
     """
 
-    lists: int = 256
+    lists: int | None = None
     subspaces: int = 8
     centres: int = 64
-    sample: int = 8192
+    sample: int = 16384
     rounds: int = 8
-    sigmas: float | None = None
+    margin: float | None = 2.0
+    trials: int = 2048
+    proven: int = 30
     seed: int = 3
 
+    def lists_for(self, n: int) -> int:
+        return self.lists or int(min(max(2 * n**0.5, 16), 2048))
+
 
 @dataclass
 class Codebook:
@@ -46,6 +55,9 @@ class Codebook:
     fine: list[np.ndarray]
     cuts: list[int]
 
+    def __post_init__(self) -> None:
+        self.apart = np.sqrt(np.maximum(_squared(self.coarse, self.coarse), 1e-12))
+
     def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list of each unit vector, squared distances to all coarse centres)."""
         far = _squared(unit, self.coarse)
@@ -68,26 +80,25 @@ class Codebook:
             out[:, i, : len(c)] = _squared(residual[:, a:b], c)
         return out
 
-    def probes(self, unit: np.ndarray, own: np.ndarray, radius: float, sigmas: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that a row of list ``own`` looks through for vectors within ``radius``.
+    def beyond(self, far: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How far each row of list ``own`` lies from the plane between its list's cell and every other one."""
+        here = np.arange(len(far))
+        out = (far - far[here, own][:, None]) / (2 * self.apart[own])
+        out[here, own] = 0
+        return out
 
-        Such a vector lies in its list's cell, so the row is at most ``radius`` beyond the plane between
-        that cell and its own: no list is missed, whatever the data. As this holds from either side, only
-        the rows of one of two lists look through the other: those of the lower one if the sum of
-        their numbers is even, else those of the higher one.
+    def probes(self, unit: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that a row of list ``own`` looks through: those at most ``reach`` beyond the border.
 
-        With ``sigmas``, only so many times ``radius`` / sqrt(n) beyond the plane is probed, which is the usual
-        distance along a given direction if pairs differ evenly in all n dimensions.
+        A vector within some radius lies in its list's cell, so the row is at most that radius beyond the
+        plane between that cell and its own: with it as ``reach`` no list is missed, whatever the data. As
+        this holds from either side, only the rows of one of two lists look through the other: those of
+        the lower one if the sum of their numbers is even, else those of the higher one.
         """
-        if sigmas is not None:
-            radius = min(radius, sigmas * radius / np.sqrt(unit.shape[1]))
-        far, lists = _squared(unit, self.coarse), np.arange(len(self.coarse))
-        apart = np.sqrt(np.maximum(_squared(self.coarse, self.coarse), 1e-12))[own]
-        beyond = (far - far[np.arange(len(unit)), own][:, None]) / (2 * apart)
-        beyond[np.arange(len(unit)), own] = 0
+        lists = np.arange(len(self.coarse))
         turn = (lists[None, :] >= own[:, None]) == ((lists[None, :] + own[:, None]) % 2 == 0)
         turn[np.arange(len(unit)), own] = True
-        return np.nonzero((beyond <= radius + _SLACK) & turn)
+        return np.nonzero((self.beyond(_squared(unit, self.coarse), own) <= reach + _SLACK) & turn)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,10 +118,10 @@ def _k_means(data: np.ndarray, k: int, rounds: int, draw: np.random.Generator) -
     return np.unique(centres, axis=0)
 
 
-def fit(sample: np.ndarray, params: PqParams) -> Codebook:
+def fit(sample: np.ndarray, params: PqParams, lists: int) -> Codebook:
     """Coarse centres of unit vectors, and centres of their residuals in each subspace."""
     draw, width = np.random.default_rng(params.seed), sample.shape[1]
-    coarse = _k_means(sample, params.lists, params.rounds, draw)
+    coarse = _k_means(sample, lists, params.rounds, draw)
     residual = sample - coarse[_squared(sample, coarse).argmin(1)]
     parts = min(params.subspaces, width)
     cuts = [width * i // parts for i in range(parts + 1)]
@@ -173,6 +184,52 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
     return (np.concatenate(rows) if rows else none), (np.concatenate(cols) if cols else none)
 
 
+def _ways(index: DataFrame, book, cosine: float, width: int, params: PqParams, lists: int) -> tuple[int, float]:
+    """(trial vectors that have a link, longest way beyond a border that a link of theirs needs, from either side).
+
+    The trials of a list are those of the smallest hashes in equal shares of it. All vectors pass by them
+    once; what leaves a task is a row per trial with a link.
+    """
+    spark = index.sparkSession
+    share = F.pmod(F.xxhash64("node"), F.lit(max(params.trials // lists, 1)))
+    picked = index.groupBy("list", share.alias("share")).agg(
+        F.min_by(F.struct("node", "v"), F.struct(F.xxhash64("node", F.lit(params.seed)), "node")).alias("t")
+    )
+    rows = picked.select("list", "t.node", "t.v").collect()
+    trials = spark.sparkContext.broadcast(
+        (
+            _directions(_matrix([r.v for r in rows], width)),
+            np.array([r.list for r in rows]),
+            np.array([r.node for r in rows]),
+            np.array([len(r.v) for r in rows]),
+        )
+    )
+
+    def met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_own, q_node, q_dim = trials.value
+        thin = q.astype(np.float32)
+        q_beyond = book.value.beyond(_squared(thin, book.value.coarse), q_own)
+        for batch in batches:
+            most = np.full(len(q), -1.0)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                u, own = _directions(_matrix(part.column("v"), width)), part.column("list").to_numpy()
+                dim = pc.list_value_length(part.column("v")).to_numpy(zero_copy_only=False)
+                near = u.astype(np.float32) @ thin.T >= cosine - _SLACK
+                near &= part.column("node").to_numpy()[:, None] != q_node
+                a, b = np.nonzero(near & (dim[:, None] == q_dim))
+                exact = np.einsum("ij,ij->i", u[a], q[b]) >= cosine
+                a, b = a[exact], b[exact]
+                mine = book.value.beyond(_squared(u.astype(np.float32), book.value.coarse), own)
+                np.maximum.at(most, b, np.maximum(mine[a, q_own[b]], q_beyond[b, own[a]]))
+            linked = np.flatnonzero(most >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array(most[linked])], ["trial", "way"])
+
+    ways = index.select("list", "node", "v").mapInArrow(met, "trial long, way double").groupBy("trial").agg(F.max("way").alias("way"))
+    linked, longest = ways.agg(F.count("*"), F.max("way")).first()
+    return linked, longest or 0.0
+
+
 def near_vectors(
     vectors: DataFrame,
     *,
@@ -185,15 +242,17 @@ def near_vectors(
     """(id, n_links, component_id, kept) of every row; rows with a cosine of at least ``cosine`` are linked.
 
     Equal vectors are one node that counts for all its rows. Nodes are put into the list of the nearest
-    coarse centre, with the codes of their residual there; each looks through every list that may hold
-    a neighbour, block by block, sums table distances, and compares what is near enough in double
-    precision. Of two lists only one is looked through by the rows of the other. Lists and queries of any size are cut into blocks and every two blocks meet in one
+    coarse centre, with the codes of their residual there; each looks through every list whose border is as
+    near as trials need, see ``PqParams``, block by block, sums table distances, and compares what is
+    near enough in double precision. Of two lists only one is looked through by the rows of the other. Lists and queries of any size are cut into blocks and every two blocks meet in one
     task, so a list that holds a third of all vectors is spread out. A task returns one count per
     vector and one chain per group, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links, nor have
     vectors of different length with each other. A row with a null id counts as a neighbour where another
     row has its vector, and else not; its component is then null. Ids are integers, null ids are not kept.
+    Other columns are not read, whatever their names. Vectors of any length are taken; the sample and the trials
+    are held by the driver, and a block of vectors by a task.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -212,9 +271,9 @@ def near_vectors(
         return rows.select(
             F.col("id").alias(id_col), plain.alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
         )
-    width = size.width
+    width, lists = size.width, params.lists_for(size.n)
     sample = classes.select("v", F.xxhash64("key").alias("h"), "key").orderBy("h", "key").limit(params.sample).select("v").collect()
-    book = spark.sparkContext.broadcast(fit(_directions(_matrix([r.v for r in sample], width)).astype(np.float32), params))
+    book = spark.sparkContext.broadcast(fit(_directions(_matrix([r.v for r in sample], width)).astype(np.float32), params, lists))
     radius = float(np.sqrt(max(2 - 2 * cosine, 0)))
 
     def indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +292,7 @@ def near_vectors(
                 part = b.slice(i, 1024)
                 unit = _directions(_matrix(part.column("v"), width)).astype(np.float32)
                 own = part.column("list").to_numpy()
-                row, lists = book.value.probes(unit, own, radius, params.sigmas)
+                row, lists = book.value.probes(unit, own, reach)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(lists, pa.int32()),
@@ -246,11 +305,16 @@ def near_vectors(
     base = classes.select("node", "weight", "v")
     kind = dict(base.dtypes)["v"]
     index = written(base.mapInArrow(indexed, f"list int, node long, weight long, v {kind}, codes binary"), "index")
+    reach = radius
+    if params.margin is not None:
+        linked, longest = _ways(index, book, cosine, width, params, lists)
+        if linked >= params.proven:
+            reach = min(radius, params.margin * longest)
     # A row's list is decided once: it must be the same on both sides.
     probes = index.select("list", "node", "weight", "v").mapInArrow(
         probing, f"list int, node long, weight long, v {kind}, home boolean"
     )
-    # One row per list, of which there are at most ``params.lists``.
+    # One row per list.
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("ni"))
     asked = written(probes.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("nq")), "asked")
     grid = F.broadcast(sizes.join(asked, "list"))

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from isoreach.llm import pq_dedup
 from isoreach.llm.pq_dedup import PqParams, near_vectors
 
 ODD = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0]]
@@ -46,7 +47,7 @@ def vectors(seed: int, width: int = 16):
 
 
 @pytest.mark.parametrize("block", [2048, 20])
-@pytest.mark.parametrize("params", [PqParams(sigmas=None, lists=12), PqParams(lists=8, subspaces=4, centres=5, sample=60)])
+@pytest.mark.parametrize("params", [PqParams(margin=None, lists=12), PqParams(lists=8, subspaces=4, centres=5, sample=60)])
 def test_all_links_are_found(spark, block, params):
     rows = vectors(1) + [(1000 + i, v) for i, v in enumerate(ODD)] + [(2000, vectors(1)[0][1][:9]), (2001, vectors(1)[0][1] + [0.0])]
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<float>, weight int")
@@ -76,3 +77,31 @@ def test_hot_cluster_that_spreads_in_few_directions(spark, rank):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
     assert links.sum() > 1000 and [got[i] for i in range(n)] == links.tolist()
+
+
+def test_probes_are_as_near_as_links_need(spark):
+    """With links enough the reach is measured, far fewer lists are looked through, and no link is lost."""
+    draw, width, n = np.random.default_rng(5), 64, 4000
+    centres = draw.normal(size=(n // 4, width))
+    rows = np.repeat(centres, 4, axis=0) + draw.normal(size=(n, width)) * 0.05
+    unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert links.min() == 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    looked = []
+    for params in (PqParams(margin=None), PqParams()):
+        before = pq_dedup.written
+        asked = []
+        pq_dedup.written = lambda t, name, before=before, asked=asked: asked.append((name, t)) or before(t, name)
+        try:
+            got = {r.vec_id: r.n_links for r in near_vectors(df, params=params, block=16).collect()}
+        finally:
+            pq_dedup.written = before
+        assert [got[i] for i in range(n)] == links.tolist()
+        looked.append(dict(asked)["asked"].agg({"nq": "sum"}).first()[0])
+    assert looked[1] < looked[0] / 3
+
+
+def test_lists_grow_with_the_table():
+    assert [PqParams().lists_for(n) for n in (1, 10_000, 1_000_000, 10**9)] == [16, 200, 2000, 2048]
+    assert PqParams(lists=7).lists_for(10**9) == 7
