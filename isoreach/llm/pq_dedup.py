@@ -30,8 +30,8 @@ class PqParams:
     most, ``subspaces`` that of the codes per vector, ``centres`` how many values a code has.
 
     How far beyond a list's border its neighbours are looked for is measured: at most ``trials`` vectors,
-    as many from every list, are compared with all vectors, and ``margin`` times the longest way that a
-    link of theirs needed is taken. Where fewer than ``proven`` of them have a link, and with ``margin=None``,
+    as many from every list, are compared with all vectors, and ``margin`` times the longest way by which a
+    link of theirs crosses a border is taken. Where fewer than ``proven`` of them have a link, and with ``margin=None``,
     every list that can hold a neighbour is probed, and no link is lost whatever the data.
     """
 
@@ -88,17 +88,16 @@ class Codebook:
         return out
 
     def probes(self, unit: np.ndarray, own: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that a row of list ``own`` looks through: those at most ``reach`` beyond the border.
+        """(row, list) of the other lists that a row of list ``own`` looks through.
 
-        A vector within some radius lies in its list's cell, so the row is at most that radius beyond the
-        plane between that cell and its own: with it as ``reach`` no list is missed, whatever the data. As
-        this holds from either side, only the rows of one of two lists look through the other: those of
-        the lower one if the sum of their numbers is even, else those of the higher one.
+        Two near vectors of different lists lie on either side of the plane between the two cells, and the
+        ways of both to it sum up to their distance at most. One of the ways is at most half of that, so
+        rows look through the lists whose border is no farther than half of ``reach``: with the radius as
+        ``reach`` every such pair meets from at least one side, whatever the data.
         """
-        lists = np.arange(len(self.coarse))
-        turn = (lists[None, :] >= own[:, None]) == ((lists[None, :] + own[:, None]) % 2 == 0)
-        turn[np.arange(len(unit)), own] = True
-        return np.nonzero((self.beyond(_squared(unit, self.coarse), own) <= reach + _SLACK) & turn)
+        near = self.beyond(_squared(unit, self.coarse), own) <= reach / 2 + _SLACK
+        near[np.arange(len(unit)), own] = False
+        return np.nonzero(near)
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,8 +162,14 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
     off = np.sqrt(((ry - book.decoded(codes)) ** 2).sum(1))
     reach = (radius + off + _SLACK) ** 2
     nx, ny = query["node"].to_numpy(), index["node"].to_numpy()
-    # Rows of one list meet from both sides, those of two lists from one.
-    away = ~query["home"].to_numpy().astype(bool)
+    # Rows of one list meet from both sides. Those of two lists may, where the index row asks for the query's
+    # list too; then they count in the list whose turn it is.
+    here, own = int(index["list"].iloc[0]), query["own"].to_numpy()
+    asks = np.zeros((len(index), len(book.coarse)), bool)
+    asked = index["asks"]
+    asks[np.repeat(np.arange(len(index)), asked.map(len)), np.concatenate(asked.to_list()).astype(int)] = True
+    turn = (own < here) == ((own + here) % 2 == 0)
+    home = own == here
     dx, dy = query["dim"].to_numpy(), index["dim"].to_numpy()
     rows, cols = [], []
     for i in range(0, len(rx), 64):
@@ -172,7 +177,8 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
         far = np.zeros((len(table), len(codes)), np.float32)
         for m in range(codes.shape[1]):
             far += table[:, m, :][:, codes[:, m]]
-        once = away[i : i + 64, None] | (nx[i : i + 64, None] < ny)
+        part = slice(i, i + 64)
+        once = np.where(home[part, None], nx[part, None] < ny, turn[part, None] | ~asks[:, own[part]].T)
         a, b = np.nonzero((far <= reach) & once & (dx[i : i + 64, None] == dy))
         a += i
         for j in range(0, len(a), 1 << 16):
@@ -185,7 +191,7 @@ def _pairs_in_block(index: pd.DataFrame, query: pd.DataFrame, book: Codebook, co
 
 
 def _ways(index: DataFrame, book, cosine: float, width: int, params: PqParams, lists: int) -> tuple[int, float]:
-    """(trial vectors that have a link, longest way beyond a border that a link of theirs needs, from either side).
+    """(trial vectors that have a link, longest sum of both ways to the border that a link of theirs crosses).
 
     The trials of a list are those of the smallest hashes in equal shares of it. All vectors pass by them
     once; what leaves a task is a row per trial with a link.
@@ -221,7 +227,7 @@ def _ways(index: DataFrame, book, cosine: float, width: int, params: PqParams, l
                 exact = np.einsum("ij,ij->i", u[a], q[b]) >= cosine
                 a, b = a[exact], b[exact]
                 mine = book.value.beyond(_squared(u.astype(np.float32), book.value.coarse), own)
-                np.maximum.at(most, b, np.maximum(mine[a, q_own[b]], q_beyond[b, own[a]]))
+                np.maximum.at(most, b, mine[a, q_own[b]] + q_beyond[b, own[a]])
             linked = np.flatnonzero(most >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array(most[linked])], ["trial", "way"])
 
@@ -244,7 +250,7 @@ def near_vectors(
     Equal vectors are one node that counts for all its rows. Nodes are put into the list of the nearest
     coarse centre, with the codes of their residual there; each looks through every list whose border is as
     near as trials need, see ``PqParams``, block by block, sums table distances, and compares what is
-    near enough in double precision. Of two lists only one is looked through by the rows of the other. Lists and queries of any size are cut into blocks and every two blocks meet in one
+    near enough in double precision. Two vectors that meet in the lists of both count once. Lists and queries of any size are cut into blocks and every two blocks meet in one
     task, so a list that holds a third of all vectors is spread out. A task returns one count per
     vector and one chain per group, never its pairs.
 
@@ -291,16 +297,10 @@ def near_vectors(
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 unit = _directions(_matrix(part.column("v"), width)).astype(np.float32)
-                own = part.column("list").to_numpy()
-                row, lists = book.value.probes(unit, own, reach)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(lists, pa.int32()),
-                        *(part.column(c).take(pa.array(row)) for c in ("node", "weight", "v")),
-                        pa.array(own[row] == lists),
-                    ],
-                    ["list", "node", "weight", "v", "home"],
-                )
+                row, found = book.value.probes(unit, part.column("list").to_numpy(), reach)
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+                asks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, asks], [*part.schema.names, "asks"])
 
     base = classes.select("node", "weight", "v")
     kind = dict(base.dtypes)["v"]
@@ -310,18 +310,21 @@ def near_vectors(
         linked, longest = _ways(index, book, cosine, width, params, lists)
         if linked >= params.proven:
             reach = min(radius, params.margin * longest)
-    # A row's list is decided once: it must be the same on both sides.
-    probes = index.select("list", "node", "weight", "v").mapInArrow(
-        probing, f"list int, node long, weight long, v {kind}, home boolean"
+    # A row's list and the lists that it looks through are decided once: both sides must see the same.
+    index = written(
+        index.mapInArrow(probing, f"list int, node long, weight long, v {kind}, codes binary, asks array<int>"), "probed"
     )
+    looked = F.explode(F.concat(F.array("list"), "asks"))
+    # New names for the same columns, as both sides meet again.
+    probes = index.select(looked.alias("list"), *(F.col(c).alias(c) for c in ("node", "weight", "v")), F.col("list").alias("own"))
     # One row per list.
     sizes = index.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("ni"))
     asked = written(probes.groupBy("list").agg(F.ceil(F.count("*") / block).cast("long").alias("nq")), "asked")
     grid = F.broadcast(sizes.join(asked, "list"))
     own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(grid, "list").select("list", own_block("ni").alias("i"), others("nq").alias("q"), "node", "weight", "v", "codes")
-    right = probes.join(grid, "list").select("list", others("ni").alias("i"), own_block("nq").alias("q"), "node", "weight", "v", "home")
+    left = index.join(grid, "list").select("list", own_block("ni").alias("i"), others("nq").alias("q"), "node", "weight", "v", "codes", "asks")
+    right = probes.join(grid, "list").select("list", others("ni").alias("i"), own_block("nq").alias("q"), "node", "weight", "v", "own")
 
     def compare(of_list: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"node": [], "other": [], "n": []}).astype("int64")
