@@ -31,8 +31,9 @@ class PqParams:
 
     How far beyond a list's border its neighbours are looked for is measured: at most ``trials`` vectors,
     as many from every list, are compared with all vectors, and ``margin`` times the longest way by which a
-    link of theirs crosses a border is taken. Where fewer than ``proven`` of them have a link, and with ``margin=None``,
-    every list that can hold a neighbour is probed, and no link is lost whatever the data.
+    link of theirs crosses a border is taken. Already with a margin of 1, a further vector has a link that
+    goes farther with a chance of one in the number of trials with a link. Where fewer than ``proven`` of
+    them have one, and with ``margin=None``, every list that can hold a neighbour is probed, and no link is lost whatever the data.
     """
 
     lists: int | None = None
@@ -40,7 +41,7 @@ class PqParams:
     centres: int = 64
     sample: int = 16384
     rounds: int = 8
-    margin: float | None = 2.0
+    margin: float | None = 1.25
     trials: int = 2048
     proven: int = 30
     seed: int = 3
