@@ -34,6 +34,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from isoreach.llm.locators import join_counted, located, place, split_by_filter
+from isoreach.llm.storage import written
+
 SCHEMA = (
     "warc_type string, record_id string, target_uri string, date string, refers_to string, "
     "payload_digest string, http_headers string, payload_length long, payload binary"
@@ -97,22 +100,32 @@ def gzip_member(record: bytes, level: int = 3) -> bytes:
 
 @dataclass
 class WrittenFiles(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    names: list[str]
+
+
+#: Files of a write, which count if the manifest of that write names them, and manifests.
+_OF_WRITE = re.compile(r"part-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz")
+_MANIFEST = re.compile(r"_written-([0-9a-f]{32})")
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Every attempt of a task writes hidden files of its own; the driver names those of the successful ones."""
+    """Tasks write files under their last names; the driver adds one manifest of those that count.
+
+    No file is renamed, which object stores could only do by copying. Files of failed or repeated attempts
+    are named by no manifest, so the reader passes over them.
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path = options["path"]
         self.limit = int(options.get("maxfilebytes", 1 << 28))
         self.level = int(options.get("compressionlevel", 3))
         self.overwrite = overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFiles:
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
-        files, out, size = [], None, 0
+        names, out, size = [], None, 0
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -121,33 +134,35 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                         out = None
                     if out is None:
-                        name = f"{uuid.uuid4().hex}.warc.gz"
-                        files.append((f"{folder}/_{name}", f"{folder}/part-{name}"))
-                        out, size = system.open_output_stream(files[-1][0], compression=None), 0
+                        names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
+                        out, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
                     out.write(member)
                     size += len(member)
         finally:
             if out is not None:
                 out.close()
-        return WrittenFiles(files)
+        return WrittenFiles(names)
 
     def commit(self, messages: list[WrittenFiles | None]) -> None:
         system, folder = _open(self.path)
+        system.create_dir(folder, recursive=True)
         old = []
-        if self.overwrite and system.get_file_info(folder).type == pafs.FileType.Directory:
-            old = [f.path for f in system.get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("part-")]
-        for message in messages:
-            for hidden, final in message.files if message else ():
-                system.move(hidden, final)
+        if self.overwrite:
+            there = [(f.path, f.base_name) for f in system.get_file_info(pafs.FileSelector(folder)) if self.job not in f.base_name]
+            old = [path for path, name in there if _MANIFEST.fullmatch(name)]
+            old += [path for path, name in there if name.startswith("part-")]
+        names = [name for message in messages if message for name in message.names]
+        with system.open_output_stream(f"{folder}/_written-{self.job}", compression=None) as out:
+            out.write("".join(f"{name}\n" for name in names).encode())
         for path in old:
             system.delete_file(path)
 
     def abort(self, messages: list[WrittenFiles | None]) -> None:
-        system, _ = _open(self.path)
-        for message in messages:
-            for hidden, _ in message.files if message else ():
-                if system.get_file_info(hidden).type == pafs.FileType.File:
-                    system.delete_file(hidden)
+        system, folder = _open(self.path)
+        if system.get_file_info(folder).type == pafs.FileType.Directory:
+            for f in system.get_file_info(pafs.FileSelector(folder)):
+                if f.base_name.startswith(f"part-{self.job}-"):
+                    system.delete_file(f.path)
 
 
 # ---------------------------------------------------------------- reading
@@ -197,24 +212,17 @@ class _Members:
                     length = struct.unpack("<I", extra[at + 4 : at + 8])[0]
                 at += 4 + size
         if head[3] & ~4 or not length:
-            # Written elsewhere: no length of the member is known, so it is inflated to find its end.
+            # Written elsewhere: no length of the member is known, so it is inflated to find its end. What is
+            # refused is dropped as it comes, and a member may hold many records.
             self.raw.seek(begin)
-            yield from self._one(io.BytesIO(self._inflated()), wanted, None)
+            body = _Inflater(self.raw, None)
+            while not body.at_end():
+                yield from self._one(body, wanted, body.skip)
             return
         body = _Inflater(self.raw, begin + length - 8 - self.raw.tell())
         yield from self._one(body, wanted, lambda _: None)
         self.raw.seek(begin + length)
 
-    def _inflated(self) -> bytes:
-        inflate, out = zlib.decompressobj(16 + zlib.MAX_WBITS), []
-        while not inflate.eof:
-            data = self.raw.read(1 << 16)
-            if not data:
-                raise EOFError("a compressed record is cut off")
-            out.append(inflate.decompress(data))
-        self.raw.seek(-len(inflate.unused_data), 1)
-        return b"".join(out)
-
     @staticmethod
     def _one(stream, wanted, skip) -> Iterator[tuple[dict[str, str], bytes, bytes | None]]:
         if not stream.readline().startswith(b"WARC/"):
@@ -252,43 +260,81 @@ class _Members:
 
 
 class _Inflater:
-    """The first bytes of a compressed record, inflated only as far as they are read."""
+    """A compressed member, inflated only as far as it is read.
+
+    ``size`` is the length of its compressed body, from whose start ``raw`` is read; None reads a whole member,
+    head and all, up to its own end, behind which ``raw`` then stands.
+    """
 
-    def __init__(self, raw: io.BufferedReader, size: int) -> None:
+    def __init__(self, raw: io.BufferedReader, size: int | None) -> None:
         self.raw, self.left, self.held = raw, size, b""
-        self.inflate = zlib.decompressobj(-zlib.MAX_WBITS)
+        self.inflate = zlib.decompressobj(16 + zlib.MAX_WBITS if size is None else -zlib.MAX_WBITS)
 
-    def _more(self) -> bool:
+    def _next(self, limit: int) -> bytes | None:
+        """At most ``limit`` more bytes, perhaps none yet; None at the end."""
+        if self.inflate.eof:
+            return None
         tail = self.inflate.unconsumed_tail
         if not tail:
-            tail = self.raw.read(min(self.left, 1 << 16))
-            self.left -= len(tail)
-        if not tail or self.inflate.eof:
-            return False
-        self.held += self.inflate.decompress(tail, 1 << 12)
-        return True
+            tail = self.raw.read(1 << 16 if self.left is None else min(self.left, 1 << 16))
+            if not tail:
+                # A last call may hold inflated bytes back that take no more input.
+                rest = self.inflate.decompress(b"", limit)
+                if not rest and self.left is None and not self.inflate.eof:
+                    raise EOFError("a compressed record is cut off")
+                return rest or None
+            if self.left is not None:
+                self.left -= len(tail)
+        data = self.inflate.decompress(tail, limit)
+        if self.inflate.eof and self.left is None:
+            self.raw.seek(-len(self.inflate.unused_data), 1)
+        return data
 
     def readline(self) -> bytes:
         while (at := self.held.find(b"\n")) < 0:
-            if not self._more():
+            data = self._next(1 << 12)
+            if data is None:
                 at = len(self.held) - 1
                 break
+            self.held += data
         line, self.held = self.held[: at + 1], self.held[at + 1 :]
         return line
 
     def read(self, size: int) -> bytes:
-        if size > len(self.held):
-            parts = [self.held]
-            tail = self.inflate.unconsumed_tail + self.raw.read(self.left)
-            self.left = 0
-            parts.append(self.inflate.decompress(tail))
-            self.held = b"".join(parts)
-        out, self.held = self.held[:size], self.held[size:]
-        return out
+        parts, have = [self.held], len(self.held)
+        while have < size and (data := self._next(size - have)) is not None:
+            parts.append(data)
+            have += len(data)
+        whole = b"".join(parts)
+        self.held = whole[size:]
+        return whole[:size]
+
+    def skip(self, size: int) -> None:
+        """Passes over bytes without holding more than a piece of them."""
+        while size > 0:
+            if not self.held:
+                self.held = self._next(1 << 16)
+                if self.held is None:
+                    self.held = b""
+                    return
+            part = min(size, len(self.held))
+            self.held, size = self.held[part:], size - part
+
+    def at_end(self) -> bool:
+        """Whether nothing but line ends follows, over which it passes."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                return False
+            data = self._next(1 << 12)
+            if data is None:
+                return True
+            self.held = data
 
 
 class WarcReader(DataSourceReader):
-    """Plans partitions of whole files of some ``partitionbytes`` together.
+    """Plans partitions of whole files of some ``partitionbytes`` together. Of files that a ``WarcWriter`` wrote into
+    a folder, those that a manifest there names are read; a file that is named itself is read in any case.
 
     Filters ``column = value`` and ``column IN (values)`` on the columns of ``HEADER_OF`` are decided on the
     header of a record alone; the rest of a refused record is passed over unread. The option ``payload``
@@ -318,10 +364,18 @@ class WarcReader(DataSourceReader):
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(folder, recursive=True))
+        found = [f for f in found if f.type == pafs.FileType.File]
+        named = set()
+        for f in found:
+            if _MANIFEST.fullmatch(f.base_name):
+                with system.open_input_stream(f.path, compression=None) as manifest:
+                    named.update(f.path.removesuffix(f.base_name) + name for name in manifest.read().decode().split())
         files = sorted(
             (f.path, f.size)
             for f in found
-            if f.type == pafs.FileType.File and f.base_name[0] not in "_." and f.base_name.endswith((".warc", ".warc.gz"))
+            if f.base_name[0] not in "_."
+            and f.base_name.endswith((".warc", ".warc.gz"))
+            and (f.path in named or info.type == pafs.FileType.File or not _OF_WRITE.fullmatch(f.base_name))
         )
         parts: list[list[str]] = []
         room = 0
@@ -402,22 +456,36 @@ def page_records(pages: DataFrame, *, least_bytes: int = 1000, date: str = "2026
 
     The response is the row with the largest page_id; rows that repeat that very id are responses as well,
     and so are rows without an id that share a payload with no other. A null html is an empty payload, a
-    null url a record without a target. Winners are found on digests; the payloads of all rows are
-    dealt by digest once, where adaptive execution splits a payload that many rows share.
+    null url a record without a target; a payload of any length is one value. Other columns are not read, whatever their names.
+
+    Revisits are found on ids, digests and locators, which are stored when this is called. Payloads stay
+    where they are, but for the revisits and few others that pass a filter of their locators; these are dealt
+    by locator, so that a payload which many rows share goes to many tasks.
     """
+    there = located(pages.select("page_id", "url", "html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digest = F.sha1(payload)
-    rows = pages.select(F.col("page_id").alias("page"), F.col("url"), payload.alias("payload"), digest.alias("digest"))
-    shared = (
-        pages.select("page_id", digest.alias("digest"), F.length(payload).alias("n"))
+    file, row = place(there)
+    narrow = written(
+        there.select(F.col("page_id").alias("page"), F.sha1(payload).alias("digest"), F.length(payload).alias("n"), file.alias("file"), row.alias("row"))
         .filter(F.col("n") >= least_bytes)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("first"), F.count("*").alias("many"))
-        .filter((F.col("many") > 1) & F.col("first").isNotNull())
-        .drop("many")
+        .drop("n"),
+        "digests",
+    )
+    shared = written(
+        narrow.groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("many"))
+        .filter((F.col("many") > 1) & F.col("first").isNotNull()),
+        "shared",
+    )
+    total = shared.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    some, _ = split_by_filter(narrow, shared.select("digest"), "digest")
+    met = join_counted(some, shared, "digest", "many", total)
+    revisits = written(met.filter(~F.col("first").eqNullSafe(F.col("page"))).select("file", "row", "first"), "revisits")
+    rows = there.select(F.col("page_id").alias("page"), "url", payload.alias("payload"), file.alias("file"), row.alias("row"))
+    maybe, responses = split_by_filter(rows, revisits.select("file", "row"), "file", "row")
+    joined = maybe.join(revisits.withColumn("revisit", F.lit(True)), ["file", "row"], "left").unionByName(
+        responses, allowMissingColumns=True
     )
-    joined = rows.join(shared, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page"))
+    revisit = F.coalesce("revisit", F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
@@ -425,7 +493,7 @@ def page_records(pages: DataFrame, *, least_bytes: int = 1000, date: str = "2026
         F.col("url").alias("target_uri"),
         F.lit(date).alias("date"),
         F.when(revisit, name(F.col("first"))).alias("refers_to"),
-        F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
+        F.concat(F.lit("sha1:"), F.sha1("payload")).alias("payload_digest"),
         F.lit(None).cast("string").alias("http_headers"),
         F.length("payload").cast("long").alias("payload_length"),
         F.when(~revisit, F.col("payload")).alias("payload"),

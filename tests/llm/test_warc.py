@@ -104,3 +104,63 @@ def test_overwrite_replaces(spark, tmp_path):
         pages = spark.createDataFrame([(page, "u", "t")], "page_id long, url string, html string")
         page_records(pages).write.format("warc").mode("overwrite").option("path", str(tmp_path / "w")).save()
     assert [r.record_id for r in spark.read.format("warc").load(str(tmp_path / "w")).collect()] == ["<urn:page:2>"]
+
+
+def test_foreign_members_are_not_held(tmp_path, monkeypatch):
+    """A refused record of a member without a length is dropped piece by piece; one member may hold many records."""
+    big = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 30000000\r\n\r\n" + b"q" * 30_000_000 + b"\r\n\r\n"
+    small = lambda n: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\n%02d\r\n\r\n" % n
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(small(1) + big + small(2)) + gzip.compress(big) + gzip.compress(small(3)))
+    held = []
+    original = warc._Inflater._next
+
+    def watched(self, limit):
+        held.append(len(self.held))
+        return original(self, limit)
+
+    monkeypatch.setattr(warc._Inflater, "_next", watched)
+    reader = warc.WarcReader({"path": str(tmp_path), "types": "response"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["payload"] for r in rows] == [b"01", b"02", b"03"] and max(held) < 1 << 17
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(big)[:-2000])
+    with pytest.raises(EOFError):
+        reader = warc.WarcReader({"path": str(tmp_path / "b.warc.gz")})
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_only_files_of_a_manifest_count(spark, tmp_path):
+    """What a failed or repeated attempt leaves is no part of the archive; foreign files next to it are."""
+    folder = tmp_path / "w"
+    writer = warc.WarcWriter({"path": str(folder)}, False)
+    row = dict.fromkeys([*warc.HEADER_OF, "http_headers", "payload_length"], None) | {"warc_type": "response", "payload": b"p"}
+    batch = warc.pa.RecordBatch.from_pylist([row | {"record_id": "<urn:page:1>"}])
+    lost, kept = writer.write(iter([batch])), writer.write(iter([batch]))
+    warc.register(spark)
+    read = lambda: sorted(r.record_id for r in spark.read.format("warc").load(str(folder)).collect())
+    assert read() == []
+    writer.commit([kept, None])
+    assert read() == ["<urn:page:1>"] and len(list(folder.glob("part-*"))) == 2
+    other = warc.WarcWriter({"path": str(folder)}, False)
+    other.abort([other.write(iter([batch]))])
+    (folder / "foreign.warc.gz").write_bytes((folder / lost.names[0]).read_bytes())
+    assert read() == ["<urn:page:1>"] * 2 and len(list(folder.glob("part-*"))) == 2
+
+
+def test_payloads_shared_by_many_rows(spark, tmp_path):
+    """Rows with null ids and clashing columns, a payload that most rows share, against a plain pass."""
+    rows = [(i if i % 11 else None, f"u{i}", LONG if i % 3 else ["a", "b" * 1500, None][i // 3 % 3], i, "x") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long, file string")
+    pages.repartition(5).write.parquet(str(tmp_path / "pages"))
+    best = {}
+    for page, _, html, *_ in rows:
+        if page is not None:
+            best[html] = max(best.get(html, page), page)
+    for df in (pages, spark.read.parquet(str(tmp_path / "pages"))):
+        got = {r.target_uri: r for r in page_records(df).collect()}
+        assert len(got) == len(rows)
+        for page, url, html, *_ in rows:
+            again = len(html or "") >= 1000 and page != best[html]
+            want = ("revisit", f"<urn:page:{best[html]}>", None) if again else ("response", None, (html or "").encode())
+            r = got[url]
+            assert (r.warc_type, r.refers_to, None if r.payload is None else bytes(r.payload)) == want
+            assert r.payload_digest == "sha1:" + hashlib.sha1((html or "").encode()).hexdigest()
