@@ -20,9 +20,12 @@ _SPARE = 16
 
 _KEYS = ("block", "pos")
 
+#: A query's range: its lowest score, the bits that a bin leaves off, the number of bins, the place looked for in it.
+_RANGE = ("lo", "shift", "bins", "need")
+
 
 def _ranges(blocks: DataFrame, most: float, k: int) -> DataFrame:
-    """(block, pos, lo, shift, need): a range of scores that holds all of a query, by its norm and the largest one."""
+    """(block, pos, lo, shift, bins, need): a range of scores that holds all of a query, by its norm and the largest one."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,35 +36,35 @@ def _ranges(blocks: DataFrame, most: float, k: int) -> DataFrame:
                 top = [min(int(x) + 1, LIMIT) for x in bound]
                 shift = [max((2 * t + 1).bit_length() - BITS, 0) for t in top]
                 n = len(top)
-                columns = [np.full(n, b.name), np.arange(n), [-t for t in top], shift, np.full(n, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_KEYS, "lo", "shift", "need"])
+                columns = [np.full(n, b.name), np.arange(n), [-t for t in top], shift, np.full(n, 1 << BITS), np.full(n, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_KEYS, *_RANGE])
 
-    ranges = blocks.mapInArrow(each, "block long, pos long, lo long, shift long, need long")
+    ranges = blocks.mapInArrow(each, ", ".join(f"{c} long" for c in (*_KEYS, *_RANGE)))
     return ranges.withColumn("open", F.lit(True))
 
 
 def _asked(blocks: DataFrame, state: DataFrame) -> DataFrame:
     """The blocks of queries with the state of those of their rows that have one."""
-    rows = F.struct("pos", "lo", "shift", "need")
+    rows = F.struct("pos", *_RANGE)
     return blocks.join(state.groupBy("block").agg(F.sort_array(F.collect_list(rows)).alias("state")), "block")
 
 
 def _arrays(state: list[dict]) -> tuple[np.ndarray, ...]:
-    return tuple(np.array([s[c] for s in state], np.int64) for c in ("pos", "lo", "shift", "need"))
+    return tuple(np.array([s[c] for s in state], np.int64) for c in ("pos", *_RANGE))
 
 
 def _histogram(of: Block, queries: list[tuple[Block, list[dict]]]) -> Iterator[list[np.ndarray]]:
-    """(block, pos, bin, n) of a query's scores in its range.
+    """(block, pos, bin, n) of a query's scores in its range; those above it are counted in its ``need`` already.
 
     Bins below those that hold the first ``need`` scores here cannot hold the place looked for.
     """
-    bins = 1 << BITS
+    most = 1 << BITS
     for block, state in queries:
-        pos, lo, shift, need = _arrays(state)
+        pos, lo, shift, bins, need = _arrays(state)
         query = block.rows(pos)
         at = (scores(query, of) - lo[:, None]) >> shift[:, None]
-        row, col = np.nonzero((at >= 0) & (at < bins) & (query.ids[:, None] != of.ids))
-        n = np.bincount(row * bins + at[row, col], minlength=len(pos) * bins).reshape(-1, bins)
+        row, col = np.nonzero((at >= 0) & (at < bins[:, None]) & (query.ids[:, None] != of.ids))
+        n = np.bincount(row * most + at[row, col], minlength=len(pos) * most).reshape(-1, most)
         above = n[:, ::-1].cumsum(1)[:, ::-1] - n
         row, bin_ = np.nonzero((n > 0) & (above < need[:, None]))
         yield [np.full(len(row), block.name), pos[row], bin_, n[row, bin_]]
@@ -71,7 +74,7 @@ def _survivors(k: int):
     def compare(of: Block, queries: list[tuple[Block, list[dict]]]) -> Iterator[list[np.ndarray]]:
         """(block, pos, query, id, score) from a query's bound on, of one block its first ``k`` at most."""
         for block, state in queries:
-            pos, lo, _, _ = _arrays(state)
+            pos, lo, *_ = _arrays(state)
             query = block.rows(pos)
             s = scores(query, of)
             row, col = np.nonzero((s >= lo[:, None]) & (query.ids[:, None] != of.ids))
@@ -134,6 +137,8 @@ def top_scores(
                 *_KEYS,
                 F.when(F.col("n").isNotNull(), F.expr("lo + bin * shiftleft(1L, CAST(shift AS INT))")).otherwise(F.col("lo")).alias("lo"),
                 F.greatest(F.col("shift") - BITS, F.lit(0).cast("long")).alias("shift"),
+                # A bin of fewer scores than a pass has bins is split into single ones, and no score above it counts.
+                F.expr(f"shiftleft(1L, CAST(least(shift, {BITS}L) AS INT))").alias("bins"),
                 (F.col("need") - F.coalesce("above", F.lit(0).cast("long"))).alias("need"),
                 more.alias("open"),
             ),

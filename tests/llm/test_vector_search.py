@@ -142,3 +142,12 @@ def test_index_leaves_out_and_loses_nothing():
 
         listed.append((Index(of, float((bound / query.norms).min())).listed != 0).sum())
     assert listed[0] > listed[1] > listed[2]
+
+
+@pytest.mark.parametrize("above", [1, 3, 4])
+def test_many_scores_just_below_the_first(spark, above):
+    """The last range is narrower than a pass has bins: what lies above it shall not be counted twice."""
+    rows = [(0, [1 / 256, 100.0], 0)] + [(100 + i, [0.0, 1.0], 0) for i in range(300)]
+    rows += [(1 + i, [(100.0 + 10 * i) / 256, 1.0], 0) for i in range(above)] + [(500 + i, [0.0, 0.5], 0) for i in range(20)]
+    got = top_scores(frame(spark, rows), F.col("vec_id") == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 5, 1000)
