@@ -51,5 +51,7 @@ def training_rows(
     chosen = docs.sparkSession.createDataFrame(chosen, f"id {dict(sure.dtypes)['id']}, y int")
     # At most twice ``rows`` ids, whatever the size of the corpus.
     picked = texts.filter(F.length("t") <= max_bytes).join(F.broadcast(chosen), "id")
-    found = picked.groupBy("id", "y").agg(F.min("t").alias("t")).collect()
-    return [(bytes(r.t), r.y) for r in sorted(found, key=lambda r: r.id)]
+    # Arrow's buffers hold a text once, here and in the JVM; rows would hold it several times.
+    found = picked.groupBy("id", "y").agg(F.min("t").alias("t")).toArrow()
+    ids, labels_of, taken = found["id"].to_pylist(), found["y"].to_pylist(), found["t"]
+    return [(taken[i].as_py(), labels_of[i]) for i in sorted(range(len(ids)), key=ids.__getitem__)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from isoreach.llm.labelled import remainder, training_rows
 from isoreach.llm.word_features import Words, bucket, slices
 
 _CHUNK_BYTES = 1 << 18
+_TRAIN_BYTES = 1 << 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SALT = [np.uint64(0x5851F42D4C957F2D + 2 * i) for i in range(16)]
 
@@ -180,6 +183,29 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(scores, -60, 60)))
 
 
+def _shuffled_examples(
+    rows: list[tuple[bytes, int]], params: QualityParams, draw: np.random.Generator
+) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(cells, values, label) of every text, in a new order each epoch.
+
+    Features take several times the room of their texts, so they wait in a file that has no name: some
+    texts' features are made at a time, and one text's are held.
+    """
+    with tempfile.TemporaryFile() as file:
+        ends = [0]
+        for span in slices([len(t) for t, _ in rows], _TRAIN_BYTES):
+            text, cell, value = features([t for t, _ in rows[span]], params.buckets)
+            edges = np.searchsorted(text, np.arange(len(rows[span]) + 1))
+            for a, b in zip(edges, edges[1:], strict=False):
+                file.write(cell[a:b].tobytes() + value[a:b].astype(np.float32).tobytes())
+                ends.append(ends[-1] + 8 * int(b - a))
+        file.flush()
+        for _ in range(params.epochs):
+            for i in draw.permutation(len(rows)).tolist():
+                held = os.pread(file.fileno(), ends[i + 1] - ends[i], ends[i])
+                yield np.frombuffer(held, np.int32, len(held) // 8), np.frombuffer(held, np.float32, offset=len(held) // 2), rows[i][1]
+
+
 def train(rows: list[tuple[bytes, int]], params: QualityParams) -> QualityModel:
     """FTRL-proximal: each text in turn moves the sums z and n from which its weights are derived.
 
@@ -193,21 +219,13 @@ def train(rows: list[tuple[bytes, int]], params: QualityParams) -> QualityModel:
         pull = np.sign(z[at]) * p.l1 - z[at]
         return np.where(np.abs(z[at]) <= p.l1, 0.0, pull / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
 
-    examples = []
-    for span in slices([len(t) for t, _ in rows], _CHUNK_BYTES):
-        text, cell, value = features([t for t, _ in rows[span]], p.buckets)
-        edges = np.searchsorted(text, np.arange(len(rows[span]) + 1))
-        for (_, y), a, b in zip(rows[span], edges, edges[1:], strict=False):
-            examples.append((cell[a:b], value[a:b].astype(np.float32), y))
-    for _ in range(p.epochs):
-        for i in draw.permutation(len(examples)):
-            cell, value, y = examples[i]
-            at, x = np.append(cell, bias_at), np.append(value, 1.0)
-            w = weights(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -60, 60))) - y) * x
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
+    for cell, value, y in _shuffled_examples(rows, p, draw):
+        at, x = np.append(cell, bias_at), np.append(value, 1.0)
+        w = weights(at)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -60, 60))) - y) * x
+        sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
+        z[at] += g - sigma * w
+        n[at] += g * g
     final = weights(slice(None))
     return QualityModel(p, final[:-1].astype(np.float32), float(final[-1]))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -230,3 +231,16 @@ def test_sample_is_bounded_by_bytes(spark):
     each = training_rows(docs, labels, "y", keep, rows=60, per_class=True, max_bytes=1000, total_bytes=1050)
     assert (len(whole), len(some), [sum(y == v for _, y in each) for v in (0, 1)]) == (60, 10, [5, 5])
     assert training_rows(docs, labels, "y", keep, rows=60, per_class=True, max_bytes=1000, total_bytes=10) == []
+
+
+def test_training_holds_the_features_of_few_texts():
+    """Four times the texts take hardly more memory, since their features wait on disk."""
+    draw = np.random.default_rng(5)
+    rows = [(b" ".join(b"w%d" % x for x in draw.integers(0, 1 << 30, 600)), i % 2) for i in range(400)]
+    params, peaks = quality.QualityParams(buckets=1 << 16, epochs=1), []
+    for many in (100, 400):
+        tracemalloc.start()
+        quality.train(rows[:many], params)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
