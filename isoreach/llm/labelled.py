@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,15 @@ def training_rows(
     groups = [sizes.filter(F.col("y") == y) for y in (0, 1)] if per_class else [sizes]
     chosen = []
     for group in groups:
-        room = total_bytes // len(groups)
-        for r in group.orderBy("h", "id").limit(rows).select("id", "y", "n").collect():
-            if r.n > room:
-                break
-            room -= r.n
-            chosen.append((r.id, r.y))
-    if not chosen:
+        first = group.orderBy("h", "id").limit(rows).select("id", "y", "n").toArrow()
+        # Up to the first text for which there is no room.
+        fits = np.cumsum(first["n"].to_numpy().astype(np.int64)) <= total_bytes // len(groups)
+        chosen.append(first.select(["id", "y"]).slice(0, int(fits.sum())))
+    chosen = pa.concat_tables(chosen)
+    if not chosen.num_rows:
         return []
-    chosen = docs.sparkSession.createDataFrame(chosen, f"id {dict(sure.dtypes)['id']}, y int")
+    # An Arrow table needs no Python on the executors; a list of rows would leave a second set of workers there.
+    chosen = docs.sparkSession.createDataFrame(chosen)
     # At most twice ``rows`` ids, whatever the size of the corpus.
     picked = texts.filter(F.length("t") <= max_bytes).join(F.broadcast(chosen), "id")
     # Arrow's buffers hold a text once, here and in the JVM; rows would hold it several times.

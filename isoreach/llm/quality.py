@@ -17,6 +17,8 @@ from isoreach.llm.labelled import remainder, training_rows
 from isoreach.llm.word_features import Words, bucket, slices
 
 _CHUNK_BYTES = 1 << 18
+#: Of texts that are taken together. What a text takes in numpy is many times its bytes.
+_TOGETHER_BYTES = 1 << 16
 _TRAIN_BYTES = 1 << 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _SALT = [np.uint64(0x5851F42D4C957F2D + 2 * i) for i in range(16)]
@@ -172,7 +174,7 @@ class QualityModel:
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         """Chance of label 1 of each text, a sparse dot product; a text without words has its length alone."""
         scores = np.empty(len(texts))
-        for span in slices([len(t or b"") for t in texts], _CHUNK_BYTES):
+        for span in slices([len(t or b"") for t in texts], _TOGETHER_BYTES):
             if len(texts[span.start] or b"") > _CHUNK_BYTES:
                 cell, value = long_features(texts[span.start], self.params.buckets)
                 scores[span] = self.weight[cell] @ value + self.bias

@@ -14,6 +14,8 @@ from isoreach.llm.labelled import remainder, training_rows
 from isoreach.llm.word_features import Words, cut_at_words, slices, subwords
 
 _CHUNK_BYTES = 1 << 18
+#: Of texts that are taken together. What a text takes in numpy is many times its bytes.
+_TOGETHER_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ class ToxicityModel:
         Texts are taken together up to some bytes, and longer ones in parts of whole windows.
         """
         p, most = self.params, np.full(len(texts), -np.inf)
-        for span in slices([len(t or b"") for t in texts], _CHUNK_BYTES):
+        for span in slices([len(t or b"") for t in texts], _TOGETHER_BYTES):
             whole = texts[span]
             if len(whole) > 1:
                 np.maximum(most[span], self._worst(whole), out=most[span])

@@ -233,6 +233,14 @@ def test_sample_is_bounded_by_bytes(spark):
     assert training_rows(docs, labels, "y", keep, rows=60, per_class=True, max_bytes=1000, total_bytes=10) == []
 
 
+def test_sampling_starts_no_python_on_executors(spark, monkeypatch):
+    """A list that becomes an RDD is unpacked by Python workers with an environment, and so a pool, of their own."""
+    docs = spark.range(60).selectExpr("cast(id as decimal(20, 0)) doc_id", "'x' text")
+    labels = spark.range(60).selectExpr("cast(id as decimal(20, 0)) doc_id", "cast(id % 2 as int) y")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("a list went to the executors"))
+    assert len(training_rows(docs, labels, "y", remainder("doc_id", 1) == 0, rows=60, per_class=True, max_bytes=9)) == 60
+
+
 def test_training_holds_the_features_of_few_texts():
     """Four times the texts take hardly more memory, since their features wait on disk."""
     draw = np.random.default_rng(5)

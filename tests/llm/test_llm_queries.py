@@ -84,3 +84,45 @@ def test_stages_take_odd_rows(spark, name, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.fixture
+def unset(spark):
+    spark.conf.unset(corpus_pipeline.BATCH[0])
+    yield
+    spark.conf.unset(corpus_pipeline.BATCH[0])
+
+
+@pytest.mark.parametrize(("name", "within"), [("toxicity", 0.0), ("quality", 1.0)])
+def test_a_stage_sends_texts_to_python_by_their_bytes(spark, tmp_path, monkeypatch, unset, name, within):
+    """3,000 rows of 8 kB are fewer than Spark's rows of a batch, and 24 MB."""
+    import pyarrow as pa
+
+    from isoreach.llm import quality, toxicity
+
+    most = 2 * corpus_pipeline.BATCH[1]  # a batch ends with the row that fills it
+
+    def score_texts(docs, model, *, id_col, text_col):
+        def each(batches):
+            for rows in batches:
+                score = within if rows.nbytes <= most else 1 - within
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([score] * len(rows))], ["row", "score"])
+
+        return docs.mapInArrow(each, f"row {dict(docs.dtypes)['row']}, score double")
+
+    operator = {"toxicity": toxicity, "quality": quality}[name]
+    monkeypatch.setattr(operator, "fit", lambda *_, **__: None)
+    monkeypatch.setattr(operator, "score_texts", score_texts)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('a b ', 2000) text", "'en' lang", "'s' source", "8000L n_chars")
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).count() == 3000
+
+
+@pytest.mark.parametrize("name", ["near_dedup", "packing"])
+def test_other_stages_bound_batches_too_and_keep_a_given_bound(spark, unset, name):
+    key, most = corpus_pipeline.BATCH
+    docs, stage = spark.read.parquet(f"{SF}/documents.parquet").limit(9), dict(corpus_pipeline.STAGES)[name]
+    stage(spark, docs, SF)
+    assert int(spark.conf.get(key)) == most
+    spark.conf.set(key, 1000)
+    stage(spark, docs, SF)
+    assert int(spark.conf.get(key)) == 1000
