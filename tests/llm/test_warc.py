@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from isoreach.llm import warc
+from isoreach.llm.queries import op1_warc
 from isoreach.llm.warc import page_of, page_records
 
 LONG = "x" * 1200
@@ -164,3 +167,45 @@ def test_payloads_shared_by_many_rows(spark, tmp_path):
             r = got[url]
             assert (r.warc_type, r.refers_to, None if r.payload is None else bytes(r.payload)) == want
             assert r.payload_digest == "sha1:" + hashlib.sha1((html or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("own", [None, "64"])
+def test_tasks_hold_few_long_pages_at_once(spark, tmp_path, monkeypatch, own):
+    """30 MB of pages in one task: no batch that reaches Python is much over 4 MB, and Parquet is read in few rows."""
+    rows, size = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    (tmp_path / "sizes").mkdir()
+
+    class Weighed(warc.WarcWriter):
+        def write(self, iterator):
+            def weighed():
+                for n, batch in enumerate(iterator):
+                    (tmp_path / "sizes" / f"{os.getpid()}-{id(self)}-{n}").write_text(str(batch.nbytes))
+                    yield batch
+
+            return warc.WarcWriter.write(self, weighed())
+
+    class Source(warc.WarcSource):
+        def writer(self, schema, overwrite):
+            return Weighed(dict(self.options), overwrite)
+
+    html = F.concat(F.col("id").cast("string"), F.lit("x" * 100_000))
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), html.alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    before, seen = {name: spark.conf.get(name, None) for name in (rows, size)}, []
+    made = warc.page_records
+    try:
+        for name, value in ((rows, own), (size, None)):
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+        monkeypatch.setattr(warc, "WarcSource", Source)
+        monkeypatch.setattr(warc, "page_records", lambda *a, **k: (seen.append(spark.conf.get(rows)), made(*a, **k))[1])
+        found = op1_warc(spark, str(tmp_path)).collect()
+        assert [spark.conf.get(name, None) for name in (rows, size)] == [own, None]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+        monkeypatch.undo()
+        warc.register(spark)
+    sizes = [int(f.read_text()) for f in (tmp_path / "sizes").iterdir()]
+    assert sum(sizes) > 30_000_000 and max(sizes) < 6_000_000
+    assert int(seen[0]) == int(own or 128)
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in found) == [(k, 100_000 + len(str(k)), "response") for k in range(300)]
