@@ -15,56 +15,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import can_store, written
+
 SLICE = "_slice"
 _SLICES = "_slices"
-_BUCKET = "_bucket"
 _NULL_SLICES = 1024
 
-# Keys are dealt into buckets, each with a summary of its frequent keys. A summary tracks _TRACKED keys in a map
-# of _MAP places, and by the bound of frequent-items summaries is off by at most 3.5 / _MAP of its rows. It names
-# every key that has over twice that many.
-_BUCKETS, _TRACKED, _MAP = 16, 16384, 32768
-_SURE = 2 * 3.5 / _MAP
+# Hot keys that are collected and broadcast at most; of more, Spark stores and joins the table as any other.
+_FEW = 75_000
+
+# Tasks that one key is spread over at most.
+_MOST_SLICES = 4096
 
 
 def hot_keys(pairs: DataFrame, key: str, slice_rows: int) -> DataFrame:
-    """(``key``, ``_slices``) of the keys with more than ``slice_rows`` pairs, as a table of literals.
+    """(``key``, ``_slices``) of all keys with more than ``slice_rows`` pairs, whatever the number of pairs.
 
-    One pass over the key column: mergeable summaries of frequent items, with a map-side half, and the
-    rows they stand for. A summary's count is never below the true one, so no hot key is missed, and a
-    key may be cut a little finer than need be. It cannot be sure of keys with less than a 4,681th of its rows;
-    ``slice_rows`` counts as that many where it is lower. So at most some 75,000 keys are hot, which
-    bounds every broadcast of them, and this job's result, whatever the pairs.
+    One pass over the key column counts the pairs of every key, with a map-side half. Up to 75,000 hot keys come as a
+    table of literals that joins broadcast. More are neither collected nor broadcast: they are stored where
+    there is a shared folder, else found again by every use, with the same counts.
     """
     return hot_keys_together([(pairs, key)], slice_rows)[0]
 
 
 def hot_keys_together(searches: Sequence[tuple[DataFrame, str]], slice_rows: int) -> list[DataFrame]:
     """``hot_keys`` of several tables or columns, found in one job that shares what they have in common."""
-    spark, kinds, found = searches[0][0].sparkSession, [], None
+    spark, kinds, tables, found = searches[0][0].sparkSession, [], [], None
     for number, (pairs, key) in enumerate(searches):
         kinds.append(pairs.select(key).schema[0].dataType)
+        counted = pairs.select(key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        slices = F.least(F.ceil(F.col("_rows") / F.lit(slice_rows)), F.lit(_MOST_SLICES)).cast("long")
+        tables.append(counted.filter(F.col("_rows") > F.lit(slice_rows)).select(key, slices.alias(_SLICES)))
         if isinstance(kinds[-1], T.NullType):
             kinds[-1] = T.StringType()
             continue
-        keys = pairs.select(key, F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(_BUCKET)).filter(F.col(key).isNotNull())
-        frequent = F.expr(f"approx_top_k(`{key}`, {_TRACKED}, {_TRACKED})")
-        summaries = keys.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_rows"), frequent.alias("_frequent"))
-        least = F.greatest(F.lit(float(slice_rows)), F.col("_rows") * F.lit(_SURE))
-        counted = summaries.select(least.alias("_least"), F.explode("_frequent").alias("_f")).filter(F.col("_f.count") > F.col("_least"))
-        slices = F.ceil(F.col("_f.count") / F.col("_least")).cast("long")
-        hot = counted.select(F.lit(number).alias("_of"), F.col("_f.item").cast("string").alias("_item"), slices.alias(_SLICES))
+        hot = tables[-1].select(F.lit(number).alias("_of"), F.col(key).cast("string").alias("_item"), _SLICES)
         found = hot if found is None else found.unionByName(hot)
-    # Collected, so that all uses deal alike: a summary that is made again may count differently.
-    rows = found.collect() if found is not None else []
+    rows = found.limit(_FEW + 1).collect() if found is not None else []
+    if len(rows) > _FEW:
+        if len(searches) > 1:
+            return [hot_keys(pairs, key, slice_rows) for pairs, key in searches]
+        return [written(tables[0], "hot") if can_store(spark) else tables[0]]
     out = []
     for number, ((_, key), kind) in enumerate(zip(searches, kinds, strict=True)):
         own = [r for r in rows if r._of == number]
         table = pa.table({"_item": pa.array([r._item for r in own], pa.string()), _SLICES: pa.array([r[_SLICES] for r in own], pa.int64())})
-        out.append(spark.createDataFrame(table).select(F.col("_item").cast(kind).alias(key), _SLICES))
+        out.append(F.broadcast(spark.createDataFrame(table).select(F.col("_item").cast(kind).alias(key), _SLICES)))
     return out
 
 
+def broadcast_if_few(hot: DataFrame) -> DataFrame:
+    """A stored table of hot keys as ``hot_keys`` makes it: broadcast by joins unless it is large."""
+    return F.broadcast(hot) if hot.count() <= _FEW else hot
+
+
 @dataclass(frozen=True)
 class Dealt:
     """Pairs shuffled by key and slice. Several uses of one object share that one shuffle."""
@@ -80,7 +84,7 @@ class Dealt:
         """
         last = F.coalesce(F.col(_SLICES), F.lit(1).cast("long")) - 1
         repeated = (
-            lookup.join(F.broadcast(self.hot), self.key, "left")
+            lookup.join(self.hot, self.key, "left")
             .withColumn(SLICE, F.explode(F.sequence(F.lit(0).cast("long"), last)))
             .drop(_SLICES)
         )
@@ -98,7 +102,7 @@ def sliced(pairs: DataFrame, key: str, spread_by: str, hot: DataFrame) -> DataFr
     # Declared never null, lest a join on it puts a null filter below one use of the shuffle only.
     others = [c for c in pairs.columns if c not in (key, spread_by)]
     picked = F.coalesce(F.pmod(F.xxhash64(spread_by, *others), slices.cast("long")), F.lit(0).cast("long"))
-    return pairs.join(F.broadcast(hot), key, "left").withColumn(SLICE, picked).drop(_SLICES)
+    return pairs.join(hot, key, "left").withColumn(SLICE, picked).drop(_SLICES)
 
 
 def deal(pairs: DataFrame, key: str, spread_by: str, slice_rows: int, hot: DataFrame | None = None) -> Dealt:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Columns, Params
 from ..storage import written
 from .catchment import within_catchment
-from .lookup import SLICE, hot_keys, sliced
+from .lookup import SLICE, broadcast_if_few, hot_keys, sliced
 
 _HOT = "_hot"
 _D0 = "isoreach.d0"
@@ -84,4 +84,4 @@ def open_by_origin(spark: SparkSession, table: str, cols: Columns = Columns()) -
     known = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
     if _D0 not in known:
         raise ValueError(f"{table} was not written by store_by_origin")
-    return StoredPairs(spark.table(table), spark.table(table + _HOT), cols, float(known[_D0]) if known[_D0] else None)
+    return StoredPairs(spark.table(table), broadcast_if_few(spark.table(table + _HOT)), cols, float(known[_D0]) if known[_D0] else None)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import __spark_entry__ as registered
 import pytest
 from fixtures import INF, ORIGINS_A, tables, tables_a, tables_b
 from pyspark.sql import Observation
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isoreach import Columns, Layout, Params
 from isoreach import operators as ops
-from isoreach.operators.lookup import deal, hot_keys, sum_per_key
+from isoreach.operators.lookup import deal, hot_keys, hot_keys_together, sum_per_key
 
 NAN = float("nan")
 SMALL = Layout(small_origins=True, small_facilities=True)
@@ -206,6 +207,36 @@ def test_hot_keys_are_exact(spark):
     assert {tuple(r) for r in hot_keys(pairs, "k", 99).collect()} == {(1, 5), (2, 2)}
 
 
+def test_no_size_of_a_table_hides_hot_origins(spark, tmp_path):
+    """Six million order lines: 50 customers have 61 of them, all others 60."""
+    spark.range(100_000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(6_000_050).select((F.col("id") % 100_000).alias("l_orderkey"), F.lit(1).alias("l_suppkey"), F.lit(1.0).alias("l_quantity"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {tuple(r) for r in registered.hot_origins(spark, str(tmp_path)).collect()}
+    assert found == {(k, 61) for k in range(50)}
+
+
+def test_more_hot_keys_than_are_broadcast(spark, monkeypatch):
+    """They are all found and cut, by joins without a broadcast; several searches at once find what one finds."""
+    pairs = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"),
+        F.col("id").alias("other"),
+    )
+    few = spark.range(90).select((F.col("id") % 2).alias("n"))
+    searches = [(pairs, "k"), (few, "n"), (pairs, "other")]
+    wanted = [sorted(map(tuple, t.collect())) for t in hot_keys_together(searches, 30)]
+    lookup = spark.range(5, 60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    joined = sorted(map(str, pairs.join(lookup, "k", "left").collect()))
+    monkeypatch.setattr("isoreach.operators.lookup._FEW", 5)
+    made = hot_keys_together(searches, 30)
+    assert [sorted(map(tuple, t.collect())) for t in made] == wanted and len(wanted[0]) > 10 and len(wanted[1]) == 2
+    dealt = deal(pairs, "k", "other", slice_rows=30)
+    attached = dealt.attach(lookup, "left").drop("_slice")
+    assert "rightHint=(strategy=broadcast)" not in attached._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, attached.select("k", "other", "v").collect())) == joined
+    assert dealt.pairs.filter("k = 7").select("_slice").distinct().count() > 30
+
+
 def test_a_hot_key_is_spread_over_partitions(spark):
     """A third of all pairs on one key: no partition holds more than a slice or two of them."""
     pairs = spark.range(30_000).select(
