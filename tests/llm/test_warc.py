@@ -173,6 +173,7 @@ def test_payloads_shared_by_many_rows(spark, tmp_path):
 def test_tasks_hold_few_long_pages_at_once(spark, tmp_path, monkeypatch, own):
     """30 MB of pages in one task: no batch that reaches Python is much over 4 MB, and Parquet is read in few rows."""
     rows, size = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    vectored = "parquet.hadoop.vectored.io.enabled"
     (tmp_path / "sizes").mkdir()
 
     class Weighed(warc.WarcWriter):
@@ -197,9 +198,9 @@ def test_tasks_hold_few_long_pages_at_once(spark, tmp_path, monkeypatch, own):
         for name, value in ((rows, own), (size, None)):
             spark.conf.set(name, value) if value else spark.conf.unset(name)
         monkeypatch.setattr(warc, "WarcSource", Source)
-        monkeypatch.setattr(warc, "page_records", lambda *a, **k: (seen.append(spark.conf.get(rows)), made(*a, **k))[1])
+        monkeypatch.setattr(warc, "page_records", lambda *a, **k: (seen.extend(map(spark.conf.get, (rows, vectored))), made(*a, **k))[1])
         found = op1_warc(spark, str(tmp_path)).collect()
-        assert [spark.conf.get(name, None) for name in (rows, size)] == [own, None]
+        assert [spark.conf.get(name, None) for name in (rows, size, vectored)] == [own, None, None]
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value else spark.conf.unset(name)
@@ -207,5 +208,5 @@ def test_tasks_hold_few_long_pages_at_once(spark, tmp_path, monkeypatch, own):
         warc.register(spark)
     sizes = [int(f.read_text()) for f in (tmp_path / "sizes").iterdir()]
     assert sum(sizes) > 30_000_000 and max(sizes) < 6_000_000
-    assert int(seen[0]) == int(own or 128)
+    assert int(seen[0]) == int(own or 128) and seen[1] == "false"
     assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in found) == [(k, 100_000 + len(str(k)), "response") for k in range(300)]
